@@ -79,16 +79,17 @@ def add_columns(
     """
     names = {f.name for f in fields}
     carried = [c for c in dict.fromkeys(keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*(f for f in source.schema.fields if f.name != "__text"), *fields])
+    read = text if text in carried else "__text"
+    source = df.select(*[F.col(f"`{c}`") for c in carried], *([F.col(f"`{text}`").alias(read)] if read not in carried else []))
+    schema = T.StructType([*source.schema.fields[: len(carried)], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for whole in batches:
             fn = fn or make()
-            for part in slices(whole, "__text", most):
+            for part in slices(whole, read, most):
                 columns = [part.column(c) for c in carried]
-                columns += list(fn(part.column("__text").to_pylist()))
+                columns += list(fn(part.column(read).to_pylist()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(f.name for f in fields)])
 
     return source.mapInArrow(run, schema)

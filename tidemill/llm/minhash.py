@@ -221,3 +221,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least_id = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("node"))
     shown = lambda c: F.when(c != LAST, c)
     return joined.select(shown(F.col("node")).alias("doc_id"), "n_shingles", shown(least_id).alias("component_id"), (least_id == F.col("node")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, one for each doc_id."""
+    kept = near_duplicates(docs, doc_id, text, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates([doc_id])

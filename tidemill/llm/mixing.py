@@ -125,3 +125,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, doc_id: str = "doc_i
     dealt = picked.repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id")
     out = dealt.mapInArrow(_copies, f"doc_id {dict(dealt.dtypes)['doc_id']}, pick {dict(dealt.dtypes)['pick']}, copies long")
     return out.select("doc_id", "pick.*", "copies", (F.col("copies") * F.col("pick.size")).alias("taken"))
+
+
+def apply(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; of repeated ids each row is taken as often as the first."""
+    taken = mix(docs, weights, cap, doc_id, text, source).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id").where("__copies > 0")
+    rows = docs.join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
