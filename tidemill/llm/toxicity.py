@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from tidemill.llm.frames import add_columns, slices
 
 ORDER = 5  # characters (UTF-8 bytes) of an expression; they fit one long
 LOW = 3  # characters of the shared backoff's expressions
-GRAM_BITS, CONTEXT_BITS, LOW_BITS = 22, 20, 18  # slots of each kind, as powers of 2
+GRAM_BITS, CONTEXT_BITS, LOW_BITS = 21, 19, 18  # slots of each kind, as powers of 2
 DISCOUNT = 0.95
 STRETCH = 10  # characters
 CALIBRATION_DOCS = 8_000
@@ -85,7 +86,6 @@ class Model:
     kinds: np.ndarray  # 2 x slots: distinct characters after the context
     low: np.ndarray  # expressions that end in these LOW characters
     low_context: np.ndarray
-    calibration: tuple[float, float, float] = (0.0, 1.0, 0.0)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """For each text the mean log-likelihood ratio of its characters and the largest mean over a stretch."""
@@ -110,22 +110,29 @@ class Model:
         out[:, 1] = np.where(n > 0, best, 0.0)
         return out
 
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model, broadcast once, and the calibration of its evidence."""
+
+    model: Broadcast
+    calibration: tuple[float, float, float]
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         a, b, c = self.calibration
-        x = self.evidence(texts)
+        x = self.model.value.evidence(texts)
         return 1.0 / (1.0 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -40, 40)))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(id, text, y) of training rows: nine tenths for counts and, apart from them, one for calibration.
+def _labels(labels: DataFrame, doc_id: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(id, y) of training labels: nine tenths for counts and, apart from them, the calibration's sample.
 
     Of a document labelled twice the larger label counts.
     """
     y = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     y = y.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
-    known = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     tenth = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(10)) == 0
-    return known.join(y.where(~tenth), "id"), known.join(y.where(tenth), "id")
+    return y.where(~tenth), y.where(tenth).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_DOCS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +164,12 @@ def _dense(rows: DataFrame, bits: int, *names: str) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Fitted:
     """Counts over the labelled training rows, then three calibration numbers on a bounded sample apart from them."""
-    known, apart = _labelled(docs, labels, doc_id, text, label)
+    counting, sample = _labels(labels, doc_id, label)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    # Labels grow with the corpus, so they are shuffled at every size; the sample is bounded, so it is broadcast.
+    known = texts.join(counting.hint("merge"), "id")
     counted = known.select("text", "y").mapInArrow(_count, "key long, c0 long, c1 long").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     types = counted.mapInArrow(_slotted, "gram long, context long, low long, low_context long, c0 long, c1 long").persist()
     by = lambda slot, **agg: types.groupBy(F.col(slot).alias("slot")).agg(*(e.alias(n) for n, e in agg.items()))
@@ -169,15 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     low = _dense(by("low", n=F.count("*")), LOW_BITS, "n")
     low_context = _dense(by("low_context", n=F.count("*")), LOW_BITS - 1, "n")
     types.unpersist()
-    model = Model(gram, context[:2], context[2:], low[0], low_context[0])
-    return Model(model.gram, model.context, model.kinds, model.low, model.low_context, _calibrate(apart, model))
-
+    model = docs.sparkSession.sparkContext.broadcast(Model(gram, context[:2], context[2:], low[0], low_context[0]))
+    return Fitted(model, _calibrate(texts.join(F.broadcast(sample), "id"), model))
 
-def _calibrate(apart: DataFrame, model: Model) -> tuple[float, float, float]:
-    sample = apart.select("id", "y").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_DOCS)
-    texts = apart.select("id", "text").join(F.broadcast(sample), "id")
-    shared = apart.sparkSession.sparkContext.broadcast(model)
 
+def _calibrate(texts: DataFrame, shared) -> tuple[float, float, float]:
     def make():
         return lambda values: tuple(pa.array(c) for c in shared.value.evidence(values).T)
 
@@ -194,15 +200,14 @@ def _calibrate(apart: DataFrame, model: Model) -> tuple[float, float, float]:
     return tuple(map(float, b))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns and ``score`` (0 to 1, higher: likelier toxic) of each row's whole text.
 
     Only the text enters the score. Null texts score as empty ones: what the
     calibration gives for no evidence. Repeated rows give repeated rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        return lambda texts: (pa.array(shared.value.score(texts)),)
+        return lambda texts: (pa.array(fitted.score(texts)),)
 
     return add_columns(docs, text, [T.StructField("score", T.DoubleType())], make, list(keep), 1 << 20)
