@@ -373,3 +373,32 @@ def pipeline_stream_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"pipeline_flatmap_udf": pipeline_flatmap_udf, "pipeline_stream_udtf": pipeline_stream_udtf}
 SQL |= {"pipeline_flatmap_udf": _lines_sql("flatmap"), "pipeline_stream_udtf": _lines_sql("stream")}
+
+
+def stream_hourly_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The done tally from a stream over the event files."""
+    from tidemill.streaming import tally
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    events.createOrReplaceTempView("__tidemill_stream")
+    items = spark.sql(source.items_sql(source.K_SPARK, "__tidemill_stream")).select("queue", "state", "finalized_at")
+    return tally.finished(tally.hourly(items, "60 days"), ["queue", "hour"], "hourly_tally")
+
+
+OPS = ["enqueue", "claim", "complete", "retry", "claim", "release", "claim", "dead_letter", "expire"]
+
+
+def stream_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations read from events (item = user, one operation for each event) through the keyed state machine, as a stream."""
+    from tidemill.streaming import machine, tally
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    name = F.element_at(F.array(*map(F.lit, OPS)), (F.col("event_id") % len(OPS) + 1).cast("int"))
+    ops = events.select(F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), name.alias("op"), F.lit("w").alias("worker"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return tally.finished(machine.run_stream(ops), ["id", "ord"], "state_machine", "append")
+
+
+QUERIES |= {"stream_hourly_tally": stream_hourly_tally, "stream_state_machine": stream_state_machine}
+SQL |= {"stream_hourly_tally": f"with {ITEMS} select queue, date_trunc('hour', finalized_at) as hour, count(*) as done from items where state = 'done' group by 1, 2"}
