@@ -1,7 +1,7 @@
 """Policies, graphs, projections, folds, the store, jobs, streams and the command line."""
 
 import io
-import json
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -296,8 +296,8 @@ def test_command_line(spark, tmp_path):
     item = store.load()[0].items.where("step_id = 'index'").first()
     assert "index" in call("trace", "exec_1", item.item_id)[1] and "success" in call("item", str(item.id))[1] and call("item", "9999")[0] == 1
     before = readers.step_counts(store.load()[0]).collect()
-    assert "swept 18" in call("gc", "--fold")[1]
+    assert "swept 19" in call("gc", "--fold")[1]
     assert readers.step_counts(store.load()[0]).collect() == before
     assert "replayed 1" in call("dlq", "replay", "site.process")[1]
     assert "paused" in call("pause", "q")[1] and "resumed" in call("resume", "q")[1] and "applied" in call("migrate", "status")[1]
-    assert json.loads("{}") == {}
+

@@ -175,9 +175,9 @@ def routed(job: Job, step: Step, wired: dict[str, list[str]], handled: DataFrame
     keeps = F.lit(not step.stream) & (F.size("flat") == 1)
     fresh = lambda i: F.concat(F.lit("item_"), F.substring(F.sha2(F.concat_ws(":", "item_id", "id", "attempt", i.cast("string")), 256), 1, 24))
 
-    def item(value, i, to):
+    def made_for(to: str):
         s = by_id[to]
-        return F.struct(
+        return lambda value, i: F.struct(
             F.lit(job.queue(to)).alias("queue"), value.alias("payload"), F.lit(None).cast("timestamp_ntz").alias("available_at"), s.policy.column().alias("policy"), F.col("execution_id"),
             F.lit(to).alias("step_id"), F.when(keeps, F.col("item_id")).otherwise(fresh(i)).alias("item_id"), F.col("item_id").alias("parent_item_id"),
         )
@@ -185,7 +185,7 @@ def routed(job: Job, step: Step, wired: dict[str, list[str]], handled: DataFrame
     to = sorted(wired[step.id])
     if not to:
         return flat.withColumn("produced", F.array().cast(X.PRODUCED))
-    lists = [F.transform("flat", lambda v, i, t=t: item(v, i, t)) for t in to]
+    lists = [F.transform("flat", made_for(t)) for t in to]
     return flat.withColumn("produced", F.concat(*lists).cast(X.PRODUCED))
 
 
