@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, debruijn, fingerprints, minhash, mixing, pii, quality, suffixes, toxicity, urls
+from tidemill.llm import bpe, debruijn, fingerprints, minhash, mixing, oracles, pii, quality, suffixes, toxicity, urls
 
 TOKENIZER = "public:byte_bpe_50k.json"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_debruijn": oracles.DEBRUIJN, "op9_minhash": oracles.MINHASH, "op10_urls": oracles.urls_sql(URL_RULES)}
