@@ -12,9 +12,9 @@ import pytest
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tests_support import prose, shingle_set
 
 from tidemill.llm import bpe, components, debruijn, fingerprints, mixing, minhash, pii, quality, suffixes, toxicity, urls
-from tidemill.llm import kernel as K
 from tidemill.llm.queries import TOKENIZER, URL_RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, kept string"
@@ -187,10 +187,6 @@ def test_crf_learns_lines_and_viterbi_is_the_best_path():
     assert f.viterbi(z).tolist() == max(paths, key=value)
 
 
-def prose(rng, n):
-    return " ".join("".join(rng.choice(list("aeioubcdlmnrst"), rng.integers(2, 8))) for _ in range(n))
-
-
 def labelled(spark, n=400):
     rng = np.random.default_rng(11)
     rows, labels = [], []
@@ -314,11 +310,6 @@ def fill(sizes):
         capped |= {n: 3.0 * sizes[n] for n in over}
 
 
-def shingles(text):
-    low = bytes(K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]).split()
-    return {tuple(low[k : k + 5]) for k in range(len(low) - 4)} if len(low) >= 5 else ({tuple(low)} if low else set())
-
-
 def test_minhash_is_brute_force(spark):
     rng = np.random.default_rng(8)
     rows = list(AWKWARD)
@@ -330,7 +321,7 @@ def test_minhash_is_brute_force(spark):
                 w[k] = "edit" + str(rng.integers(0, 5))
             rows.append((100 + len(rows), " ".join(w).upper() if rng.random() < 0.3 else " ".join(w)))
     rows += [(900, "a b"), (901, "A B"), (902, "b a")]
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingle_set(t) for _, t in rows]
     ids = [i if i is not None else 1 << 62 for i, _ in rows]
     comp = list(range(len(rows)))
     for _ in range(len(rows)):
