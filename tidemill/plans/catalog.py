@@ -94,7 +94,6 @@ SHOWN = ["id", "queue", "state", "outcome", "attempt", "execution_id", "step_id"
 
 @query(f"select {', '.join(SHOWN)} from items where id in (11, 12, 13, 14, 15)")
 def get_item_union(g: Ledger) -> DataFrame:
-    folded = fold_ops.fold(g, fold_ops.SweepOptions(timedelta(0)), NOW)[0]
     folded = fold_ops.fold(g, fold_ops.SweepOptions(fold_ops.RETENTION_ZERO, history=timedelta(days=400)), datetime(2024, 3, 1))[0]
     out = [readers.get_item(folded, i).select(*SHOWN) for i in (11, 12, 13, 14, 15)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
