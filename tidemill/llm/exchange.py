@@ -26,9 +26,12 @@ ANSWERED = "grp int, kind int, payload binary"
 
 
 def counts(spark) -> tuple[int, int]:
-    """Buckets of hashes and groups of documents for this session."""
+    """Buckets of hashes and groups of documents for this session, one for each task.
+
+    Blobs number at most buckets times groups, or entries if these are fewer.
+    """
     n = partitions(spark)
-    return 2 * n, 4 * n + 1
+    return n, n
 
 
 def pack(ids: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -78,7 +81,7 @@ def ask(docs: DataFrame, doc_id: str, text: str, questions: Callable[[np.ndarray
 
 def settle(asked: DataFrame, answer: Callable[[Iterator[tuple[int, bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     """ANSWERED rows: ``answer`` gets the (kind, payload) rows of one bucket at a time."""
-    dealt = asked.repartition(partitions(asked.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = asked.repartitionById(partitions(asked.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in per_group(batches, "bucket", lambda b, it: answer((k, p) for k, p in it), ("kind", "payload")):
@@ -119,7 +122,7 @@ def meet(docs: DataFrame, doc_id: str, text: str, answers: DataFrame, groups: in
     known = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
     texts = docs.select(F.pmod(known, F.lit(groups)).cast("int").alias("grp"), F.lit(TEXTS).alias("kind"), F.lit(None).cast("binary").alias("payload"), known.alias("id"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     told = answers.select("grp", "kind", "payload", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    return told.unionByName(texts).repartition(partitions(spark), "grp").sortWithinPartitions("grp", "kind")
+    return told.unionByName(texts).repartitionById(partitions(spark), F.col("grp")).sortWithinPartitions("grp", "kind")
 
 
 def over_groups(batches: Iterator[pa.RecordBatch], load: Callable[[list[tuple[int, bytes]]], object], work: Callable, most: int = CHUNK_BYTES) -> Iterator:

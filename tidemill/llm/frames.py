@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,18 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    Shuffle files that fed it are then garbage; asking the driver to collect
-    lets Spark delete them now and not half an hour later.
+    Shuffle files that fed it are then garbage, if the caller holds no frame
+    that needs them. With ``free`` the driver collects its garbage, so that
+    Spark deletes them now and not half an hour later.
     """
     spark = df.sparkSession
     shared_dir(spark)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3 if free else 0):  # listeners hold a finished query for a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
     return out
 
 

@@ -320,16 +320,19 @@ def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _told(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     buckets, groups = counts(docs.sparkSession)
-    scanned = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _scan(groups)))
-    neighbourhoods = _neighbourhoods(buckets)
+    scanned = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _scan(groups)), free=True)
+    # Unclear anchors are a small part of all; fewer buckets keep their blobs large.
+    neighbourhoods = _neighbourhoods(max(1, buckets // 4))
 
     def unclear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in over_groups(batches, _load, neighbourhoods):
             if found:
                 yield rows(ASKED, found)
 
-    asked = meet(docs, doc_id, text, scanned.where(f"kind = {UNCLEAR}"), groups).mapInArrow(unclear, ASKED)
-    compared = cut(settle(asked, _compare(groups)))
+    def asked() -> DataFrame:
+        return meet(docs, doc_id, text, scanned.where(f"kind = {UNCLEAR}"), groups).mapInArrow(unclear, ASKED)
+
+    compared = cut(settle(asked(), _compare(groups)), free=True)
     return scanned.where(f"kind = {SETTLED}").unionByName(compared), groups
 
 
