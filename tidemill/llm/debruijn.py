@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import kernel as K
-from tidemill.llm.exchange import ANSWERED, ask, by_key, counts, meet, over_groups, pack, rows, settle, unpack
+from tidemill.llm.exchange import ANSWERED, LAST, ask, by_key, counts, meet, over_groups, pack, rows, settle, unpack
 from tidemill.llm.frames import cut
 
 WINDOW = 13
 ASKS, REPEATED, PATHS, DENIED = 1, 1, 2, 3
+FEW = 100_000  # ids that a task may hold
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 FOUND = f"{ANSWERED}, {RESULT}"
@@ -237,10 +238,46 @@ def _verified(groups: int):
     return run
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ids(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """Distinct ids in the payloads of paths (0: sources, 1: their documents) or of denied edges (0: documents)."""
     for b in batches:
-        for p in b.column("payload").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(p, np.uint64)[0]))], names=["owner"])
+        for kind, p in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist()):
+            columns = unpack(p, np.uint64) if kind == DENIED else unpack(p, np.int64, np.uint64, np.int64, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(columns[place]))], names=["only"])
+
+
+class Few:
+    """A set of documents by which texts and answers are narrowed; held in one array while it is small, else joined."""
+
+    def __init__(self, blobs: DataFrame, place: int = 0):
+        self.ids = cut(blobs.mapInArrow(lambda it: _ids(it, place), "only long").distinct())
+        self.count = self.ids.count()
+        self.small = self.count <= FEW
+        if self.small:
+            found = np.sort(self.ids.toArrow().column("only").to_numpy())
+            self.held = self.ids.sparkSession.sparkContext.broadcast(found)
+
+    def texts(self, docs: DataFrame, doc_id: str) -> DataFrame:
+        mine = self.ids.withColumnRenamed("only", "__only")
+        return docs.join(F.broadcast(mine) if self.small else mine, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)) == F.col("__only"), "left_semi")
+
+    def answers(self, told: DataFrame) -> DataFrame:
+        if not self.small:
+            return told
+        held = self.held
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = []
+                for g, kind, p in zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "payload"))):
+                    ids, edge, source = unpack(p, np.uint64, np.int64)
+                    mine = np.isin(ids, held.value)
+                    if mine.any():
+                        found.append((g, kind, pack(ids[mine], edge[mine], source[mine])))
+                if found:
+                    yield rows(ANSWERED, found)
+
+        return told.select("grp", "kind", "payload").mapInArrow(run, ANSWERED)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,26 +288,30 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     larger than any other.
     """
     buckets, groups = counts(docs.sparkSession)
-    told = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _repeated(groups)))
+    told = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _repeated(groups)), free=True)
 
     def compacted(some: DataFrame, answers: DataFrame, single: bool) -> DataFrame:
-        return cut(meet(some, doc_id, text, answers, groups).mapInArrow(_over(_compacted(groups, single)), FOUND))
+        return cut(meet(some, doc_id, text, answers, groups).mapInArrow(_over(_compacted(groups, single)), FOUND), free=True)
 
-    def denied(found: DataFrame) -> DataFrame:
-        return cut(meet(docs, doc_id, text, found.where("kind IS NOT NULL").select("grp", "kind", "payload"), groups).mapInArrow(_verified(groups), ANSWERED))
+    def denied(some: DataFrame, found: DataFrame) -> DataFrame:
+        return cut(meet(some, doc_id, text, found.where("kind IS NOT NULL").select("grp", "kind", "payload"), groups).mapInArrow(_verified(groups), ANSWERED), free=True)
 
     names = [f.split()[0] for f in RESULT.split(", ")]
     found = compacted(docs, told, False)
-    failed = denied(found)
+    failed = denied(docs, found)
     result = found.where("kind IS NULL").select(*names)
     if failed.isEmpty():
         return result
-    # A path may fail where each of its edges stands; look at the edges of documents that hold such paths.
-    owners = cut(failed.mapInArrow(_owners, "owner long").distinct())
-    again = docs.join(owners, F.col(f"`{doc_id}`") == F.col("owner"), "left_semi")
-    singles = compacted(again, told, True)
-    wrong = denied(singles)
+    # A path fails if its source holds its edges, but not one after the other; then the edges of its document are looked at one by one.
+    again = Few(failed)
+    narrow = again.answers(told)
+    singles = compacted(again.texts(docs, doc_id), narrow, True)
+    wrong = denied(Few(singles.where("kind IS NOT NULL")).texts(docs, doc_id), singles)
     if wrong.isEmpty():
         return result
-    mended = compacted(docs, told.unionByName(wrong), True)
-    return mended.where("kind IS NULL").select(*names)
+    # Edges that their source does not hold are none; their documents' results are made again without them.
+    flawed = Few(wrong)
+    mended = compacted(flawed.texts(docs, doc_id), flawed.answers(told).unionByName(wrong), True)
+    ids = flawed.ids.withColumnRenamed("only", "__only")
+    kept = result.join(F.broadcast(ids) if flawed.small else ids, F.coalesce("doc_id", F.lit(LAST)) == F.col("__only"), "left_anti")
+    return kept.unionByName(mended.where("kind IS NULL").select(*names))
