@@ -218,6 +218,48 @@ def test_models_on_held_out_rows(spark):
     assert quality.assess(docs(spark), quality.fit(d, none)).count() == len(AWKWARD)
 
 
+def expressions(text):
+    body = re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", text.encode().lower() + b" ").lstrip()
+    padded = b"    " + body
+    return [padded[k : k + 5] for k in range(len(body))]
+
+
+def test_toxicity_counts_every_expression_apart(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789é"), 7)) for _ in range(n))
+    texts = {i: words(150) for i in range(1, 241)}
+    texts = {i: t + " " + texts[i - 1][:400] if i > 120 else t for i, t in texts.items()} | {0: " .. ", 999: "unseen text here"}
+    d = docs(spark, list(texts.items()))
+    labels = spark.createDataFrame([(i, i % 2) for i in texts if i != 999], "doc_id long, toxic int")
+    fitted = toxicity.fit(d, labels)
+    counting, _ = toxicity._labels(labels, "doc_id", "toxic")
+    counts = (Counter(), Counter())
+    for i, y in counting.collect():
+        counts[y].update(expressions(texts[i]))
+    kinds = set(counts[0]) | set(counts[1])
+    before = [Counter(), Counter()]
+    after = [Counter(), Counter()]
+    for y in (0, 1):
+        for g, n in counts[y].items():
+            before[y][g[:4]] += n
+            after[y][g[:4]] += 1
+    low, low_context = Counter(g[2:] for g in kinds), Counter(g[2:4] for g in kinds)
+
+    def ratio(g):
+        shared = (low[g[2:]] + 0.02) / (low_context[g[2:4]] + 1)
+        p = [(max(counts[y][g] - 0.95, 0) + 0.95 * max(after[y][g[:4]], 1) * shared) / before[y][g[:4]] if before[y][g[:4]] else shared for y in (0, 1)]
+        return np.log(p[1]) - np.log(p[0])
+
+    def expected(text):
+        r = [ratio(g) for g in expressions(text)]
+        a, b, c = fitted.calibration
+        mean, peak = (np.mean(r), max(sum(r[k : k + 10]) / 10 for k in range(len(r)))) if r else (0, 0)
+        return 1 / (1 + np.exp(-np.clip(a + b * mean + c * peak, -40, 40)))
+
+    got = {r.doc_id: r.score for r in toxicity.score(d, fitted).collect()}
+    assert got.keys() == texts.keys() and all(abs(got[i] - expected(t)) < 1e-6 for i, t in texts.items())
+
+
 def test_fingerprints_follow_edits(spark):
     rows = sorted([(i, t) for i, t in AWKWARD if i is not None], key=lambda r: (r[0], r[1] or ""))
     rows = [*rows, *[(i, t) for i, t in AWKWARD if i is None]]

@@ -10,9 +10,11 @@ ratio over the whole of it and over its most toxic stretch of a word or so; a
 logistic calibration turns both into a score.
 
 Counts cover every labelled training document but a tenth, from which the
-calibration takes its bounded sample. The model has a fixed number of slots,
-so what each task holds does not grow with the corpus; expressions that share
-a slot add their counts.
+calibration takes its bounded sample. They are exact: what they say about each
+expression is a row of a written table that grows with the corpus. Texts are
+dealt into groups, which ask it for their distinct expressions, bucket by
+bucket, so a task holds one bucket of the table or a chunk of texts and the
+answers of its group. Groups and buckets follow the session's partitions.
 """
 
 from __future__ import annotations
@@ -23,20 +25,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm import kernel as K
-from tidemill.llm.frames import add_columns, slices
+from tidemill.llm.exchange import TEXTS, by_key, pack, per_group, unpack
+from tidemill.llm.frames import CHUNK_BYTES, cut, partitions, slices
 
 ORDER = 5  # characters (UTF-8 bytes) of an expression; they fit one long
 LOW = 3  # characters of the shared backoff's expressions
-GRAM_BITS, CONTEXT_BITS, LOW_BITS = 21, 19, 18  # slots of each kind, as powers of 2
 DISCOUNT = 0.95
 STRETCH = 10  # characters
 CALIBRATION_DOCS = 8_000
+GRAMS, CONTEXTS, ASK = 0, 1, 2  # kinds of ROWS in a bucket, in the order they are read
+ROWS = "bucket int, kind int, grp int, payload binary"
+PACKED = 1 << 20  # expressions of the table that are packed together
 
 _INK = np.zeros(256, bool)  # ASCII letters and digits and all beyond ASCII; the rest separates
 _INK[128:] = True
@@ -53,76 +57,51 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Each run of ORDER characters, packed into a long, and the text it ends in.
 
     Letters are lower-cased (A-Z), separators become one blank, and each text
-    begins after blanks.
+    begins after blanks, so no run reaches into the text before.
     """
     raw, at = K.joined([b"    " + (t or "").encode() for t in texts], 1)
     chars = np.where(_INK[raw], K.LOWER[raw], np.uint8(32))
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     real = np.ones(len(chars), bool)
     real[1:] = (chars[1:] != 32) | (chars[:-1] != 32)
-    chars, doc = chars[real].astype(np.int64), doc[real]
+    lead = np.zeros(len(chars), bool)
+    lead[(at[:-1, None] + np.arange(ORDER - 1)).ravel()] = True
+    real |= lead
+    chars, doc, lead = chars[real].astype(np.int64), doc[real], lead[real]
     if len(chars) < ORDER:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     key = np.zeros(len(chars) - ORDER + 1, np.int64)
     for k in range(ORDER):
         key = (key << 8) | chars[k : k + len(key)]
-    return key, doc[ORDER - 1 :]
+    own = ~lead[ORDER - 1 :]
+    return key[own], doc[ORDER - 1 :][own]
 
 
-def _slot(key: np.ndarray, bits: int) -> np.ndarray:
-    return (K.mix(key.astype(np.uint64) + np.uint64(bits)) >> np.uint64(64 - bits)).astype(np.int64)
+def _buckets(context: np.ndarray, count: int) -> np.ndarray:
+    return (K.mix(context.astype(np.uint64) + np.uint64(1)) % np.uint64(count)).astype(np.int64)
 
 
-def _low_slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the last LOW characters and of those but the last."""
-    tail = key & ((1 << 8 * LOW) - 1)
-    return _slot(tail, LOW_BITS), _slot(tail >> 8, LOW_BITS - 1)
-
-
-@dataclass(frozen=True)
-class Model:
-    gram: np.ndarray  # 2 x slots: counts
-    context: np.ndarray  # 2 x slots: counts
-    kinds: np.ndarray  # 2 x slots: distinct characters after the context
-    low: np.ndarray  # expressions that end in these LOW characters
-    low_context: np.ndarray
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the mean log-likelihood ratio of its characters and the largest mean over a stretch."""
-        out = np.zeros((len(texts), 2))
-        key, doc = _grams(texts)
-        if not len(key):
-            return out
-        g, c = _slot(key, GRAM_BITS), _slot(key >> 8, CONTEXT_BITS)
-        a, b = _low_slots(key)
-        shared = (self.low[a] + 0.02) / (self.low_context[b] + 1.0)
-        ratio = np.zeros(len(key))
-        for k, sign in ((1, 1.0), (0, -1.0)):
-            seen = self.context[k][c]
-            p = (np.maximum(self.gram[k][g] - DISCOUNT, 0) + DISCOUNT * np.maximum(self.kinds[k][c], 1) * shared) / np.maximum(seen, 1)
-            ratio += sign * np.log(np.where(seen > 0, p, shared))
-        n = np.bincount(doc, minlength=len(texts))
-        out[:, 0] = np.bincount(doc, weights=ratio, minlength=len(texts)) / np.maximum(n, 1)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        end = np.minimum(np.arange(len(key)) + STRETCH, np.cumsum(n)[doc])
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, (total[end] - total[:-1]) / STRETCH)
-        out[:, 1] = np.where(n > 0, best, 0.0)
-        return out
+def _measures(ratio: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the mean log-likelihood ratio of its characters and the largest mean over a stretch."""
+    out = np.zeros((texts, 2))
+    n = np.bincount(doc, minlength=texts)
+    out[:, 0] = np.bincount(doc, weights=ratio, minlength=texts) / np.maximum(n, 1)
+    total = np.concatenate([[0.0], np.cumsum(ratio)])
+    end = np.minimum(np.arange(len(ratio)) + STRETCH, np.cumsum(n)[doc])
+    best = np.full(texts, -np.inf)
+    np.maximum.at(best, doc, (total[end] - total[:-1]) / STRETCH)
+    out[:, 1] = np.where(n > 0, best, 0.0)
+    return out
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """A model, broadcast once, and the calibration of its evidence."""
+    """The written table of log-likelihood ratios, packed in buckets, and the calibration of evidence."""
 
-    model: Broadcast
+    table: DataFrame
+    buckets: int
     calibration: tuple[float, float, float]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        a, b, c = self.calibration
-        x = self.model.value.evidence(texts)
-        return 1.0 / (1.0 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -40, 40)))
-
 
 def _labels(labels: DataFrame, doc_id: str, label: str) -> tuple[DataFrame, DataFrame]:
     """(id, y) of training labels: nine tenths for counts and, apart from them, the calibration's sample.
@@ -147,52 +126,185 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c - c1), pa.array(c1)], names=["key", "c0", "c1"])
 
 
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key = b.column("key").to_numpy()
-        low, low_context = _low_slots(key)
-        slots = (_slot(key, GRAM_BITS), _slot(key >> 8, CONTEXT_BITS), low, low_context)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, slots), b.column("c0"), b.column("c1")], names=["gram", "context", "low", "low_context", "c0", "c1"])
-
-
-def _dense(rows: DataFrame, bits: int, *names: str) -> np.ndarray:
-    """Columns by slot; at most one row for each slot arrives here."""
-    t = rows.toArrow()
-    out = np.zeros((len(names), 1 << bits), np.float32)
-    for i, name in enumerate(names):
-        out[i][t.column("slot").to_numpy()] = t.column(name).to_numpy()
-    return out
+def _ratios(types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, ratio) of each expression and of each context, the latter for expressions not seen in it."""
+    low = F.col("key").bitwiseAND((1 << 8 * LOW) - 1)
+    types = types.withColumns({"context": F.shiftright("key", 8), "low": low, "low_context": F.shiftright(low, 8)})
+    kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
+    contexts = types.groupBy("context").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), kinds("c0").alias("k0"), kinds("c1").alias("k1"))
+    endings = types.groupBy("low", "low_context").agg(F.count("*").alias("ends"))
+    before = types.groupBy("low_context").agg(F.count("*").alias("begins"))
+    shared = endings.join(before, "low_context").select("low", ((F.col("ends") + 0.02) / (F.col("begins") + 1.0)).alias("shared"))
+
+    def ratio(count, backoff):
+        p = lambda k: (F.greatest(count(k) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.greatest(F.col(f"k{k}"), F.lit(1)) * backoff) / F.col(f"n{k}")
+        log = lambda k: F.log(F.when(F.col(f"n{k}") > 0, p(k)).otherwise(backoff))
+        return (log(1) - log(0)).alias("ratio")
+
+    seen = types.join(contexts, "context").join(shared, "low").select("key", ratio(lambda k: F.col(f"c{k}"), F.col("shared")))
+    # The backoff of an expression that was not seen is the same factor in both classes.
+    return seen, contexts.select(F.col("context").alias("key"), ratio(lambda k: F.lit(0), F.lit(1.0)))
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "grp", "payload"])
+
+
+def _packed(rated: DataFrame, kind: int, count: int) -> DataFrame:
+    """ROWS of (key, ratio) rows."""
+
+    def blobs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, ratio = (np.concatenate([b.column(n).to_numpy() for b in held]) for n in ("key", "ratio"))
+        return _rows([(b, kind, 0, pack(key[at], ratio[at])) for b, at in by_key(_buckets(key >> 8 if kind == GRAMS else key, count), count)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= PACKED:
+                yield blobs(held)
+                held, size = [], 0
+        if size:
+            yield blobs(held)
+
+    return rated.mapInArrow(run, ROWS)
+
+
+def _counts(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, c0, c1): how often each expression occurs in ordinary and in toxic texts."""
+    # Labels grow with the corpus, so they are shuffled at every size.
+    known = texts.join(labels.hint("merge"), "id")
+    return known.select("text", "y").mapInArrow(_count, "key long, c0 long, c1 long").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _questions(count: int):
+    """ROWS of (grp, text) rows: the distinct expressions each group asks about in each bucket; a group is in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for part in slices(whole, "text"):
+                key, doc = _grams(part.column("text").to_pylist())
+                grp = part.column("grp").to_numpy()
+                for g in np.unique(grp).tolist():
+                    held[g] = np.union1d(held.get(g, key[:0]), key[grp[doc] == g])
+        for g, key in held.items():
+            yield _rows([(b, ASK, g, key[at].tobytes()) for b, at in by_key(_buckets(key >> 8, count), count)])
+
+    return run
+
+
+def _sorted(blobs: list[bytes], real=np.float64) -> list[np.ndarray]:
+    """Keys and ratios of all blobs, in the order of keys."""
+    parts = [unpack(p, real) for p in blobs]
+    key, ratio = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, kind in enumerate((np.int64, real)))
+    order = np.argsort(key)
+    return [key[order], ratio[order]]
+
+
+def _look_up(told: list[np.ndarray], key: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """``ratio``, replaced where the sorted table has the key."""
+    known, value = told
+    if not len(known):
+        return ratio
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, value[at], ratio)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(bucket: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        told: tuple[list, list] = ([], [])
+        grams = contexts = None
+        for kind, grp, payload in rows:
+            if kind != ASK:
+                told[kind].append(payload)
+                continue
+            if grams is None:
+                grams, contexts = map(_sorted, told)
+            key = np.frombuffer(payload, np.int64)
+            yield bucket, ASK, grp, pack(key, _look_up(grams, key, _look_up(contexts, key >> 8, np.zeros(len(key)))).astype(np.float32))
+
+    held, size = [], 0
+    for row in per_group(batches, "bucket", answer, ("kind", "grp", "payload")):
+        held.append(row)
+        size += len(row[3])
+        if size >= CHUNK_BYTES:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _scored(keep: list[str], text: str):
+    """Kept columns, mean and peak of (grp, kind, payload, text, row) rows, each group's answers before its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, told, loaded = None, [], None
+        for whole in batches:
+            grp, kind = (whole.column(n).to_numpy() for n in ("grp", "kind"))
+            edge = np.flatnonzero((grp[1:] != grp[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(grp)]):
+                if a == b:
+                    continue
+                if grp[a] != current:
+                    current, told, loaded = grp[a], [], None
+                if kind[a] != TEXTS:
+                    told += whole.column("payload").slice(a, b - a).to_pylist()
+                    continue
+                if loaded is None:
+                    loaded, told = _sorted(told, np.float32), []
+                for part in slices(whole.slice(a, b - a), "text"):
+                    key, doc = _grams(part.column("text").to_pylist())
+                    key, at = np.unique(key, return_inverse=True)
+                    ratio = _look_up(loaded, key, np.full(len(key), np.nan))
+                    if np.isnan(ratio).any():
+                        raise ValueError(f"group {current} lacks answers")
+                    kept = part.column("row")
+                    columns = [part.column("text") if c == text else kept.field(c) for c in keep] + [pa.array(c) for c in _measures(ratio[at], doc, part.num_rows).T]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, "__mean", "__peak"])
+
+    return run
+
+
+def _evidence(docs: DataFrame, text: str, keep: list[str], table: DataFrame, count: int) -> DataFrame:
+    """Kept columns of each row, ``__mean`` and ``__peak`` of its text."""
+    n = partitions(docs.sparkSession)
+    kept = [docs.schema[c] for c in keep]
+    # Groups follow from what a row holds, so that both passes deal alike.
+    plain = (T.StringType, T.NumericType, T.DateType, T.TimestampType)
+    hashed = [f"`{f.name}`" for f in kept if isinstance(f.dataType, plain) and f.name != text]
+    grp = F.pmod(F.xxhash64(f"`{text}`", *hashed), F.lit(n)).cast("int").alias("grp")
+    words = F.col(f"`{text}`").alias("text")
+    asked = docs.select(grp, words).repartitionById(n, F.col("grp")).mapInArrow(_questions(count), ROWS)
+    answers = cut(asked.unionByName(table).repartitionById(count, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_answers, ROWS), free=True)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep if c != text], F.lit(0).alias("__some"))
+    texts = docs.select(grp, F.lit(TEXTS).alias("kind"), F.lit(None).cast("binary").alias("payload"), words, row.alias("row"))
+    told = answers.select("grp", "kind", "payload", F.lit(None).cast("string").alias("text"), F.lit(None).cast(texts.schema["row"].dataType).alias("row"))
+    met = told.unionByName(texts).repartitionById(n, F.col("grp")).sortWithinPartitions("grp", "kind")
+    schema = T.StructType([*kept, T.StructField("__mean", T.DoubleType()), T.StructField("__peak", T.DoubleType())])
+    return met.mapInArrow(_scored(keep, text), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Fitted:
     """Counts over the labelled training rows, then three calibration numbers on a bounded sample apart from them."""
     counting, sample = _labels(labels, doc_id, label)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    # Labels grow with the corpus, so they are shuffled at every size; the sample is bounded, so it is broadcast.
-    known = texts.join(counting.hint("merge"), "id")
-    counted = known.select("text", "y").mapInArrow(_count, "key long, c0 long, c1 long").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    types = counted.mapInArrow(_slotted, "gram long, context long, low long, low_context long, c0 long, c1 long").persist()
-    by = lambda slot, **agg: types.groupBy(F.col(slot).alias("slot")).agg(*(e.alias(n) for n, e in agg.items()))
-    kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    gram = _dense(by("gram", c0=F.sum("c0"), c1=F.sum("c1")), GRAM_BITS, "c0", "c1")
-    context = _dense(by("context", c0=F.sum("c0"), c1=F.sum("c1"), k0=kinds("c0"), k1=kinds("c1")), CONTEXT_BITS, "c0", "c1", "k0", "k1")
-    low = _dense(by("low", n=F.count("*")), LOW_BITS, "n")
-    low_context = _dense(by("low_context", n=F.count("*")), LOW_BITS - 1, "n")
-    types.unpersist()
-    model = docs.sparkSession.sparkContext.broadcast(Model(gram, context[:2], context[2:], low[0], low_context[0]))
-    return Fitted(model, _calibrate(texts.join(F.broadcast(sample), "id"), model))
+    count = partitions(docs.sparkSession)
+    types = cut(_counts(texts, counting), free=True)
+    seen, unseen = _ratios(types)
+    table = cut(_packed(seen, GRAMS, count).unionByName(_packed(unseen, CONTEXTS, count)))
+    # The sample is bounded, so it is broadcast.
+    return Fitted(table, count, _calibrate(_evidence(texts.join(F.broadcast(sample), "id"), "text", ["id", "y"], table, count)))
 
 
-def _calibrate(texts: DataFrame, shared) -> tuple[float, float, float]:
-    def make():
-        return lambda values: tuple(pa.array(c) for c in shared.value.evidence(values).T)
-
-    rows = add_columns(texts, "text", [T.StructField("mean", T.DoubleType()), T.StructField("peak", T.DoubleType())], make, ["id", "y"], 1 << 20)
-    rows = rows.toPandas().sort_values(["id", "mean", "peak"])
+def _calibrate(rows: DataFrame) -> tuple[float, float, float]:
+    rows = rows.toPandas().sort_values(["id", "__mean", "__peak"])
     y = rows["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():  # one class only: its share, and no slope
         return (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 2.5))), 0.0, 0.0)
-    x = np.column_stack([np.ones(len(y)), rows["mean"], rows["peak"]])
+    x = np.column_stack([np.ones(len(y)), rows["__mean"], rows["__peak"]])
     b = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -206,8 +318,8 @@ def score(docs: DataFrame, fitted: Fitted, text: str = "text", keep: tuple[str,
     Only the text enters the score. Null texts score as empty ones: what the
     calibration gives for no evidence. Repeated rows give repeated rows.
     """
-
-    def make():
-        return lambda texts: (pa.array(fitted.score(texts)),)
-
-    return add_columns(docs, text, [T.StructField("score", T.DoubleType())], make, list(keep), 1 << 20)
+    carried = [c for c in dict.fromkeys(keep) if c != "score"]
+    a, b, c = fitted.calibration
+    x = F.lit(a) + b * F.col("__mean") + c * F.col("__peak")
+    found = _evidence(docs, text, carried, fitted.table, fitted.buckets)
+    return found.select(*[F.col(f"`{k}`") for k in carried], (1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
