@@ -285,6 +285,23 @@ def test_near_fingerprints_are_classes(spark):
     assert cls[1] == cls[2] == cls[3] != cls[4] and len(cls) == 5
 
 
+def test_near_classes_find_every_pair_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    template, hubs = rng.integers(0, 2, 256), []
+    for _ in range(60):  # hubs share most bits with the template but are not near each other
+        hubs.append(np.where(rng.permutation(256) < 40, 1 - template, template))
+    bits = np.array(hubs + [np.where(rng.permutation(256) < 25, 1 - h, h) for h in hubs])
+    near = 1 - 2 * (bits[:, None] != bits[None]).sum(2) / 256 >= 0.8
+    reach = near
+    for _ in range(7):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    prints = [np.packbits(b).tobytes().hex() for b in bits]
+    want = {i: min(prints[k] for k in np.flatnonzero(reach[i])) for i in range(len(prints))}
+    got = fingerprints.near_classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == want and 1 < len(set(want.values())) < 120
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -28,8 +28,9 @@ from tidemill.llm.frames import partitions
 BITS = 256
 PERIOD = 4096  # of the shared random bits, in steps
 STEPS = 2  # embedding steps for each character, as many as a walk needs on average
-BANDS, BAND_BITS = 48, 24
+BANDS, BAND_BITS = 144, 20  # a pair at NEAR shares no band with probability under 1e-7
 NEAR = 0.8
+BLOCK = 1024  # fingerprints that are compared pair by pair
 
 
 def _stays() -> list[list[int]]:
@@ -180,31 +181,58 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(prints, object), BANDS)), pa.array(keys.T.ravel())], names=["fingerprint", "band"])
 
 
+def _forests(near: float):
+    """Spanning forests (a, b) of the near pairs of each block, rows sorted by (band, i, j)."""
+
+    def forest(prints: list[str]) -> list[tuple[str, str]]:
+        words = np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(len(prints), -1)
+        left = np.ones(len(prints), bool)
+        out = []
+        for first in range(len(prints)):
+            queue = [first] if left[first] else []
+            left[first] = False
+            while queue:
+                k = queue.pop()
+                rest = np.flatnonzero(left)
+                differ = np.bitwise_count(words[rest] ^ words[k]).sum(1, dtype=np.int64)
+                found = rest[1.0 - 2.0 * differ / BITS >= near].tolist()
+                left[found] = False
+                out += [(prints[k], prints[x]) for x in found]
+                queue += found
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for b in batches:
+            found = []
+            for band, i, j, fingerprint in zip(*(b.column(n).to_pylist() for n in ("band", "i", "j", "fingerprint"))):
+                if (band, i, j) != current:
+                    found += forest(held) if held else []
+                    current, held = (band, i, j), []
+                held.append(fingerprint)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+        found = forest(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_classes(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint", near: float = NEAR) -> DataFrame:
     """(doc_id, class_id) with the least fingerprint of each class of near fingerprints as its id.
 
-    Equal fingerprints are one candidate. In each band a fingerprint is
-    compared with the least of its bucket and its neighbour in the bucket's
-    order, and links are verified on all bits, so that no bucket is compared
-    pair by pair. Rows without a fingerprint are left out.
+    Equal fingerprints are one candidate. All pairs of a band's bucket are
+    compared on all bits, in blocks of bounded size; a bucket of m takes about
+    (m / BLOCK)^2 / 2 of them. Rows without a fingerprint are left out.
     """
-    from pyspark.sql import Window
-
     rows = prints.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{fingerprint}`").alias("fingerprint")).where("fingerprint IS NOT NULL")
     banded = rows.select("fingerprint").distinct().mapInArrow(_bands, "fingerprint string, band long")
-    least = banded.groupBy("band").agg(F.min("fingerprint").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(least, "band").select(F.col("fingerprint").alias("a"), "b")
-    order = Window.partitionBy("band", F.substring("fingerprint", 1, 2)).orderBy("fingerprint")
-    chains = banded.select(F.col("fingerprint").alias("a"), F.lead("fingerprint").over(order).alias("b"))
-    pairs = stars.unionByName(chains).where("b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    words = BITS // 64
-    differ = sum(
-        (F.bit_count(F.conv(F.substring("a", 16 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 16 * i + 1, 8), 16, 10).cast("long")))
-         + F.bit_count(F.conv(F.substring("a", 16 * i + 9, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 16 * i + 9, 8), 16, 10).cast("long"))))
-        for i in range(words)
-    )
-    linked = pairs.where(1.0 - 2.0 * differ / BITS >= near)
-    parts = connected_components(linked)
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    placed = banded.join(sizes, "band").select("band", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("fingerprint"), blocks).cast("int").alias("side"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fingerprint")
+    dealt = placed.repartition(partitions(prints.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "fingerprint")
+    parts = connected_components(dealt.mapInArrow(_forests(near), "a string, b string"))
     return rows.join(parts, rows["fingerprint"] == parts["node"], "left").select("doc_id", F.coalesce("component", "fingerprint").alias("class_id"))
 
 
