@@ -354,6 +354,37 @@ def test_mixing_meets_targets(spark):
     assert mixing.apply(plan).count() == got["copies"].sum()
 
 
+def test_mixing_solves_the_dual_over_documents(spark):
+    rng = np.random.default_rng(6)
+    size = np.concatenate([rng.integers(1, 400, 300), rng.integers(20, 40, 300), rng.integers(1, 9, 40)])
+    of = np.repeat([0, 1, 2], [300, 300, 40])
+    rows = [(i, " ".join(["w"] * int(n)), f"s{s}") for i, (n, s) in enumerate(zip(size, of))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().sort_values("doc_id")
+    total = np.bincount(of, weights=size)
+    filled = fill({f"s{k}": float(total[k]) for k in range(3)})
+    want = np.array([filled[f"s{k}"] for k in range(3)])
+    log = np.log(size)
+    mean = (size * log).sum() / size.sum()
+    z = (log - mean) / np.sqrt((size * (log - mean) ** 2).sum() / size.sum())
+    x, y, slack = np.log(want / total), 0.0, mixing.SLACK * size.sum()
+    for _ in range(300):  # a plain solution: each source's multiplier by bisection for a given y, and y by small steps up
+        low, high = np.full(3, -20.0), np.full(3, 20.0)
+        for _ in range(60):
+            x = (low + high) / 2
+            over = np.bincount(of, weights=size * np.minimum(np.exp(x[of] + y * z), 3)) > want * (1 - 1e-12)
+            low, high = np.where(over, low, x), np.where(over, x, high)
+        y -= 0.3 * ((size * np.minimum(np.exp(x[of] + y * z), 3) * z).sum() + slack * y) / slack
+    assert abs(y) > 0.01 and np.allclose(got["rate"], np.minimum(np.exp(x[of] + y * z), 3), rtol=1e-5)
+    assert got["rate"].max() <= 3 and got[got.source == "s0"].rate.nunique() > 50
+    assert np.allclose(np.bincount(of, weights=got["taken"]), want, rtol=0.02)
+
+
+def test_mixed_rows_of_repeated_ids_stay_apart(spark):
+    rows = [(None, "a b c", "s"), (None, "d e f", "s"), (7, "g h", "s"), (7, "i j", "s"), (7, "i j", "s"), (8, None, None)]
+    got = mixing.apply(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert by_row(got, "doc_id", "text") == Counter(r[:2] for r in rows if r[1])
+
+
 def fill(sizes):
     """Water filling, source by source."""
     names = sorted(sizes)
