@@ -178,7 +178,7 @@ def test_crf_learns_lines_and_viterbi_is_the_best_path():
     y = np.arange(60) % 2
     x[:, :, 0] = 1
     x[:, :, 3] = y[:, None] * 0.8 + rng.random((60, 6)) * 0.2
-    f = quality.train(x, np.full(60, 6), y)
+    f = quality.train(x, np.full(60, 6), np.repeat(y[:, None], 6, 1))
     assert all((f.viterbi(x[i]) == y[i]).all() for i in range(60))
     f = quality.Field(rng.normal(size=(len(quality.FEATURES), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
     z = rng.normal(size=(5, len(quality.FEATURES)))
@@ -187,6 +187,26 @@ def test_crf_learns_lines_and_viterbi_is_the_best_path():
     assert f.viterbi(z).tolist() == max(paths, key=value)
 
 
+def test_field_labels_lines_of_documents_apart():
+    rng = np.random.default_rng(13)
+    plain = lambda: " ".join(prose(rng, 12).split(" ")).capitalize() + "."
+    junk = lambda: " ".join(w + "***" for w in prose(rng, 12).split(" "))
+    texts = [[plain() for _ in range(5)] + [junk() for _ in range(i % 3)] for i in range(60)] + [[junk() for _ in range(40 + i)] + [plain() for _ in range(i % 3)] for i in range(60)]
+    y = np.repeat([0, 1], 60)
+    f = quality.train_latent([quality.line_features(t).astype(float) for t in texts], [np.full(len(t), 12) for t in texts], y)
+    for t in texts:
+        assert f.viterbi(quality.line_features(t).astype(float)).tolist() == [int("***" in s) for s in t]
+    shares = {quality.content_share(f, "\n".join(t)) for t in texts}
+    assert any(0 < s < 0.5 for s in shares) and any(0.5 < s < 1 for s in shares)
+    assert quality.bounded(np.array([2.0, 1.0, -1.0]), np.array([5, 5, 5]), 0).tolist() == [1, 0, 0]
+    z = rng.normal(size=(6, len(quality.FEATURES)))
+    g = quality.Field(rng.normal(size=(len(quality.FEATURES), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    value = lambda p: g.start[p[0]] + sum((z[k] @ g.emit)[p[k]] for k in range(6)) + sum(g.step[a, b] for a, b in zip(p, p[1:]))
+    paths = [[(n >> k) & 1 for k in range(6)] for n in range(64)]
+    best = [[max(value(p) for p in paths if p[k] == s) for s in (0, 1)] for k in range(6)]
+    assert np.allclose(g.margins(z), [b - a for a, b in best])
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(11)
     rows, labels = [], []

@@ -2,10 +2,13 @@
 
 Viterbi decoding marks each line of a text as content or boilerplate, and the
 share of words in content lines decides whether the document is kept. The
-field is trained here, on the lines of a bounded sample of labelled documents:
-lines of documents labelled good count as content, those of the others as
-boilerplate, and the likelihood learns how lines look and how they follow each
-other.
+field is trained here, on all lines of a bounded sample of labelled documents.
+Labels are of documents, those of lines are latent: a document that is labelled
+good is mostly content, one that is not is mostly boilerplate, and within that
+bound each line takes the label that it fits better. Training alternates
+between giving lines their labels and fitting the field to them, beginning
+with a guess by the look of single lines, so the field learns how lines look
+and how content and boilerplate follow each other.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-# The sample that the field is fitted on: documents, and lines of each.
-SAMPLE_DOCS = 2_000
-SAMPLE_LINES = 32
+SAMPLE_DOCS = 2_000  # labelled documents that the field is fitted on, with all their lines
+SEGMENT = 32  # lines of a chain in training; longer documents are several chains
+TURNS = 4  # of labelling lines and fitting
+MAJORITY = 0.6  # share of a document's words that surely have its label
 CONTENT_SHARE = 0.5
 
 # Words and phrases that page furniture tends to hold (fixed values).
 FURNITURE = ("cookie", "copyright", "all rights reserved", "subscribe", "sign up", "log in", "privacy policy", "terms of", "click here", "http", "licensed under", "javascript", "newsletter")
 
-FEATURES = ("bias", "symbols", "symbol words", "bars", "digits", "short", "long", "ends a sentence", "capital", "repeats", "same words", "furniture", "word length", "other marks")
+FEATURES = ("bias", "symbols", "symbol words", "bars", "digits", "short", "long", "ends a sentence", "capital", "repeats", "same words", "furniture", "word length", "other marks", "capitals")
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -65,6 +69,7 @@ def line_features(lines: list[str]) -> np.ndarray:
             any(f in low for f in FURNITURE),
             min(2.0, chars / n / 8.0),
             min(1.0, 6.0 * sum(map(line.count, "{}[]=_~^\\@")) / chars),
+            sum(w.isupper() and len(w) > 1 for w in words) / n,
         )
         seen.add(line)
     return out
@@ -95,21 +100,31 @@ class Field:
             out.append(label)
         return np.array(out[::-1], np.int8)
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """How much the best labelling with boilerplate at a row beats the best one with content there."""
+        e = x @ self.emit
+        ahead, behind = np.empty_like(e), np.zeros_like(e)
+        ahead[0] = e[0] + self.start
+        for i in range(1, len(e)):
+            ahead[i] = (ahead[i - 1][:, None] + self.step).max(0) + e[i]
+        for i in range(len(e) - 2, -1, -1):
+            behind[i] = (self.step + (e[i + 1] + behind[i + 1])[None, :]).max(1)
+        return (ahead + behind) @ np.array([-1.0, 1.0])
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by Adam. x: docs x lines x features, y: 0 or 1 for each doc's lines."""
-    docs, most, k = x.shape
+def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """Maximum conditional likelihood by Adam. x: chains x lines x features, y: chains x lines, 0 or 1; weight: of each chain."""
+    chains, most, k = x.shape
     emit, step, start = np.zeros((k, 2)), np.zeros((2, 2)), np.zeros(2)
-    if not docs or y.min() == y.max():  # nothing to tell apart: everything is content
-        return Field(emit, step, np.array([1.0, 0.0]))
     live = np.arange(most)[None, :] < lengths[:, None]
-    # Both labels weigh the same, whatever their share of the sample.
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(1, lengths)
+    if not live.any() or y[live].min() == y[live].max():  # nothing to tell apart: everything is content
+        return Field(emit, step, np.array([1.0, 0.0]))
+    weight = np.full(chains, 1.0 / live.sum()) if weight is None else weight
     gold = np.eye(2)[y]
     first, second = [np.zeros_like(p) for p in (emit, step, start)], [np.zeros_like(p) for p in (emit, step, start)]
     for t in range(1, rounds + 1):
@@ -124,9 +139,9 @@ def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 60, r
             beta[:, i] = np.where(live[:, i + 1, None], new, 0.0)
         z = _lse(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
-        diff = (gold[:, None, :] * live[..., None] - p) * weight[:, None, None]
+        diff = (gold * live[..., None] - p) * weight[:, None, None]
         pair = np.exp(alpha[:, :-1, :, None] + step[None, None] + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-        same = gold[:, None, :, None] * gold[:, None, None, :] * live[:, 1:, None, None]
+        same = gold[:, :-1, :, None] * gold[:, 1:, None, :] * live[:, 1:, None, None]
         grads = [np.einsum("dlk,dls->ks", x, diff) - decay * emit, ((same - pair) * weight[:, None, None, None]).sum((0, 1)) - decay * step, diff[:, 0].sum(0) - decay * start]
         for q, g, m, v in zip((emit, step, start), grads, first, second):
             m += 0.1 * (g - m)
@@ -135,11 +150,56 @@ def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 60, r
     return Field(emit, step, start)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field:
-    """A field from the ``sample_docs`` labelled documents whose ids hash lowest, ``sample_lines`` lines of each.
+def bounded(score: np.ndarray, size: np.ndarray, y: int, majority: float = MAJORITY) -> np.ndarray:
+    """Labels of a document's lines: the likelier ones, but lines that hold ``majority`` of its words have its own.
 
-    Rows with a null id, text or label are left out; of a document labelled
-    twice the larger label counts.
+    score: how much likelier boilerplate is, for each line; size: its words;
+    y: 0 for a document of content, 1 for one of boilerplate. Lines change to
+    the document's label in the order in which they come closest to it.
+    """
+    label = (score > 0).astype(np.int64)
+    order = np.argsort(score if y == 0 else -score, kind="stable")
+    before = np.cumsum(size[order]) - size[order]
+    label[order[before < majority * size.sum()]] = y
+    return label
+
+
+def train_latent(x: list[np.ndarray], size: list[np.ndarray], y: np.ndarray, turns: int = TURNS) -> Field:
+    """A field from documents' lines (features and words of each) and labels of documents alone."""
+    if not len(y) or y.min() == y.max():
+        return train(np.zeros((1, 1, len(FEATURES))), np.array([1]), np.zeros((1, 1), np.int64))
+    # Both labels weigh the same, whatever their share of the sample, and so do all documents of a label.
+    each = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    cuts = [(d, a, min(a + SEGMENT, len(f))) for d, f in enumerate(x) for a in range(0, len(f), SEGMENT)]
+    lengths = np.array([b - a for _, a, b in cuts])
+    rows = np.zeros((len(cuts), int(lengths.max()), len(FEATURES)))
+    for i, (d, a, b) in enumerate(cuts):
+        rows[i, : b - a] = x[d][a:b]
+    weight = np.array([each[d] / len(x[d]) for d, *_ in cuts])
+
+    def chained(labels: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(rows.shape[:2], np.int64)
+        for i, (d, a, b) in enumerate(cuts):
+            out[i, : b - a] = labels[d][a:b]
+        return out
+
+    # The first guess looks at single lines: chains of one line each.
+    lines = np.concatenate(x)[:, None, :]
+    of = np.repeat(np.arange(len(x)), [len(f) for f in x])
+    field = train(lines, np.ones(len(lines), np.int64), y[of][:, None], (each / np.array([len(f) for f in x]))[of], rounds=40)
+    score = [f @ (field.emit[:, 1] - field.emit[:, 0]) + field.start[1] - field.start[0] for f in x]
+    for _ in range(turns):
+        field = train(rows, lengths, chained([bounded(s, n, int(k)) for s, n, k in zip(score, size, y)]), weight)
+        score = [field.margins(f) for f in x]
+    return field
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Field:
+    """A field from all lines of the ``sample_docs`` labelled documents whose ids hash lowest.
+
+    Rows with a null id, text or label are left out, as are texts without
+    words; of a document labelled twice the larger label counts. Without
+    labelled rows, or with one label alone, everything is content.
     """
     picked = (
         labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
@@ -149,24 +209,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample_docs)
     )
+    # The sample is bounded, so it is broadcast.
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "id")
 
     def make():
         def run(values):
-            rows = [line_features([s for s in (v or "").split("\n") if s.split()][:sample_lines]) for v in values]
-            return (pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary()),)
+            held = [_inked(v) for v in values]
+            yield pa.array([line_features(lines).astype("<f4").tobytes() for lines in held], pa.binary())
+            yield pa.array([np.array([len(s.split()) for s in lines], "<i8").tobytes() for lines in held], pa.binary())
 
         return run
 
-    rows = add_columns(texts, "text", [T.StructField("x", T.BinaryType())], make, ["id", "y"]).toArrow().to_pylist()
-    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["id"], r["x"]))
-    x = np.zeros((len(rows), sample_lines, len(FEATURES)), np.float32)
-    lengths = np.zeros(len(rows), np.int64)
-    for i, r in enumerate(rows):
-        f = np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES))
-        x[i, : len(f)], lengths[i] = f, len(f)
-    y = np.array([1 - r["y"] for r in rows], np.int64)
-    return train(x[:, : max(1, int(lengths.max(initial=1)))].astype(np.float64), lengths, y)
+    found = add_columns(texts, "text", [T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())], make, ["id", "y"]).toArrow().to_pylist()
+    found = sorted((r for r in found if r["x"]), key=lambda r: (r["id"], r["x"]))
+    x = [np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for r in found]
+    return train_latent(x, [np.frombuffer(r["n"], "<i8") for r in found], np.array([1 - r["y"] for r in found], np.int64))
+
+
+def _inked(text: str | None) -> list[str]:
+    """Lines with a word."""
+    return [s for s in (text or "").split("\n") if s.split()]
 
 
 def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -212,7 +274,7 @@ def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 def content_share(field: Field, text: str | None) -> float:
     """Share of words in lines that Viterbi decoding marks as content; 0 without words."""
-    lines = [s for s in (text or "").split("\n") if s.split()]
+    lines = _inked(text)
     if not lines:
         return 0.0
     label = field.viterbi(line_features(lines).astype(np.float64))
