@@ -12,6 +12,7 @@ import pytest
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests_support import prose, shingle_set
 
 from tidemill.llm import bpe, components, debruijn, fingerprints, mixing, minhash, pii, quality, suffixes, toxicity, urls
@@ -487,3 +488,36 @@ def test_url_rules_and_aliases(spark):
     assert verdict[8] == verdict[9] == ("", "", None, "allow") and verdict[10] == ("host.com", "", None, "allow")
     assert verdict[11][2:] == ("com/", "allow") and verdict[12][3] == "allow" and verdict[13][2] == "com/" and verdict[14][2] is None
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).isEmpty()
+
+
+LINKED = [
+    (1, "https://a.org/d/x.html", '<link rel=canonical href="y.html">'), (2, "https://a.org/d/y.html", '<meta http-equiv="refresh" content="0; url=../../e/../f?q=1">'), (3, "https://A.org:443/f?q=1", "<link rel='nofollow canonical' href='//bad.net/fr/1'>"),
+    (4, "https://go.org/", '<meta http-equiv=refresh content="1;url=/go?u=https://bad.net/fr/1">'), (5, "https://go.org/go?u=https://bad.net/fr/1", ""), (6, "https://D.org/1", '<link rel="canonical" href="https://bad.net/es/&#x2f;1">'), (7, "https://d.org/1", None), (8, "http://d.org/1", None),
+    (9, "https://two.org/a", '<link rel="stylesheet" href="https://bad.net/es/1"><link href="https://two.org/b" rel="canonical"><link rel="canonical" href="https://two.org/c">'), (10, "https://two.org/c", '<link rel="canonical" href="https://x.net/es/7">'), (11, "https://two.org/b", None),
+    (12, "https://based.org/p/q", '<base href="/r/"><link rel="canonical" href="s">'), (13, "https://based.org/r/s", "<META HTTP-EQUIV='Refresh' CONTENT='0; URL=https://x.net/fr/2&amp;z'>"), (14, "https://based.org/p/s", None), (15, "", '<link rel="canonical" href="https://x.net/es/7">'), (16, None, None), (17, "mailto:x", '<link rel="canonical" href="y">'),
+    (18, "https://c.org/z", '<link data-href="https://x.net/es/7" rel="canonical" href="?k=1">'), (19, "https://c.org/z?k=1", '<link rel="canonical" href="javascript:x">'), (20, "https://long.org/" + "p/" * 3000 + "end", '<link rel="canonical" href="' + "../" * 2999 + 'top">'), (21, "https://long.org/p/top", '<meta http-equiv="refresh" content="url=https://x.net/es/">'),
+]
+
+
+def test_links_are_resolved_as_a_browser_would(spark):
+    import duckdb
+    from urllib.parse import urljoin
+
+    from tidemill.llm import oracles
+
+    pages = spark.createDataFrame(LINKED, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in urls.judge(pages, URL_RULES).collect()}
+    assert {i for i, v in verdict.items() if v == "block"} == {1, 2, 3, 6, 7, 9, 10, 11, 12, 13, 20, 21}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(LINKED, columns=["page_id", "url", "html"]))
+    want = Counter(con.execute(oracles.urls_sql(URL_RULES)).fetchall())
+    assert by_row(urls.judge(pages, URL_RULES), "page_id", "host", "path", "rule", "verdict") == want
+    bases = ["https://h.org/a/b/c?d=e", "http://h.org", "https://h.org/a/"]
+    targets = ["x", "./x", "../x", "../../../x/", "/x/./y/..", "?q", "//other.org/z", "http://abs.org/q?r=1", "x?y=/../z", ".", "..", "../..", "x/y/../../.."]
+    rows = [(b, t, urljoin(b, t)) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string, w string").select("b", "t", urls.resolved(F.col("b"), F.col("t")).alias("got"), urls.address(F.col("w")).alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == []
+    many = [("block", f"h{i}.example.org", "/") for i in range(1500)] + [("allow", "h7.example.org", "/ok")]
+    hosts = spark.createDataFrame([(i, f"https://www.h{i}.example.org/ok") for i in range(0, 3000, 7)], "page_id long, url string").selectExpr("*", "cast(null as string) AS html")
+    assert {r.page_id for r in urls.judge(hosts, many).collect() if r.verdict == "block"} == set(range(0, 1500, 7)) - {7}
+    assert {r.verdict for r in urls.judge(pages, []).collect()} == {"allow"}

@@ -30,20 +30,45 @@ select d.doc_id, coalesce(n, 0) as n_shingles, least as component_id, d.doc_id =
 
 
 def urls_sql(rules) -> str:
-    """Rules in order, then components over canonical and refresh links."""
+    """Rules in order, then what blocked addresses reach over canonical and refresh links."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
     host = lambda u: f"case when instr({u}, '://') > 0 then translate(regexp_extract(substr({u}, instr({u}, '://') + 3), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') else '' end"
     path = lambda u: f"case when instr({u}, '://') > 0 then regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end"
     fits = lambda r: f"(host = '{r[1]}' or ends_with(host, '.{r[1]}')) and starts_with(path, '{r[2]}')"
-    pick = lambda i: "case " + " ".join(f"when {fits(r)} then '{r[1] + r[2] if i else r[0]}'" for r in urls._rules(rules)) + " end"
-    tag = lambda t: t.replace("'", "''")
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]))
+    pick = lambda i: "case " + " ".join(f"when {fits(r)} then '{r[1] + r[2] if i else r[0]}'" for r in ordered) + " end"
+    absolute = "^[A-Za-z][A-Za-z0-9+.-]*://"
+
+    def decoded(value: str) -> str:
+        value = f"regexp_replace({value}, {quoted(chr(94) + chr(91) + chr(34) + chr(39) + chr(93))}, '')"
+        for entity, mark in urls.ENTITIES.items():
+            value = f"replace({value}, {quoted(entity)}, {quoted(mark)})"
+        return value
+
+    def resolved(name: str, source: str, base: str, target: str) -> str:
+        """CTEs that add ``name``, the normal form of ``target`` on ``base``, to the rows of ``source``."""
+        b, t = f"regexp_extract(trim({base}), '^([^#]*)', 1)", f"regexp_extract(trim({target}), '^([^#]*)', 1)"
+        return f"""
+{name}1 as (select *, {t} as t_, lower(regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s_, regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1) as h_,
+  regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) as p_, regexp_extract({b}, '^[^?]*(.*)$', 1) as q_ from {source}),
+{name}2 as (select *, case when regexp_matches(t_, '^[A-Za-z][A-Za-z0-9+.-]*:') then t_ when s_ = '' or {base} is null then null when starts_with(t_, '//') then s_ || ':' || t_
+  when starts_with(t_, '/') then s_ || '://' || h_ || t_ when starts_with(t_, '?') then s_ || '://' || h_ || p_ || t_ when t_ = '' then s_ || '://' || h_ || p_ || q_
+  else s_ || '://' || h_ || coalesce(nullif(regexp_extract(p_, '^(.*/)', 1), ''), '/') || t_ end as w_ from {name}1),
+{name}3 as (select * exclude (t_, s_, h_, p_, q_), lower(regexp_extract(w_, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s_, translate(regexp_extract(w_, '{absolute}([^/?]*)', 1), '{UPPER}', '{LOWER}') as h_,
+  coalesce(nullif(regexp_extract(w_, '{absolute}[^/?]*([^?]*)', 1), ''), '/') as p_, regexp_extract(w_, '^[^?]*(.*)$', 1) as q_ from {name}2),
+{name}4 as (select *, list_reduce(list_prepend([]::varchar[], list_transform(string_split(substr(p_, 2), '/'), lambda x: [x])), lambda a, b: case when b[1] = '..' then a[1:len(a) - 1] when b[1] = '.' then a else a || b end) as l_ from {name}3),
+{name} as (select * exclude (w_, s_, h_, p_, q_, l_), case when s_ <> '' and h_ <> '' then s_ || '://' || case s_ when 'http' then regexp_replace(h_, ':(80)?$', '') when 'https' then regexp_replace(h_, ':(443)?$', '') else h_ end
+  || '/' || array_to_string(l_, '/') || case when len(l_) > 0 and regexp_matches(p_, '/[.][.]?$') then '/' else '' end || q_ end as {name}_to from {name}4)"""
+
+    tags = lambda tag, kind: f"list_filter(regexp_extract_all(coalesce(html, ''), {quoted(tag)}), lambda x: regexp_matches(x, {quoted(kind)}))"
     return f"""
-with recursive p as (select page_id, regexp_extract(url, '^([^#]*)', 1) as a, html, {host("url")} as host, {path("url")} as path from pages),
-raw as (select a, unnest([regexp_extract(regexp_extract(html, '{tag(urls.LINK_TAG)}', 0), '{tag(urls.HREF)}', 1), regexp_extract(regexp_extract(html, '{tag(urls.META_TAG)}', 0), '{tag(urls.REFRESH)}', 1)]) as t from p),
-e as (select a, regexp_extract(case when instr(t, '://') > 0 then t when starts_with(t, '//') then split_part(a, '://', 1) || ':' || t
-  when starts_with(t, '/') then regexp_extract(a, '^([^#?]*?://[^/?#]*)', 1) || t end, '^([^#]*)', 1) as b from (select a, replace(t, '&amp;', '&') as t from raw where t <> '') x),
-pair as (select a, b from e where a is not null and b is not null and a <> b union select b, a from e where a is not null and b is not null and a <> b),
+with recursive pages_ as (select page_id, url, html, {host("url")} as host, {path("url")} as path from pages), {resolved("p", "pages_", "url", "url")},
+raw as (select url, p_to as a, {decoded(f"regexp_extract(regexp_extract(coalesce(html, ''), {quoted(urls.BASE_TAG)}, 0), {quoted(urls.HREF)}, 1)")} as based,
+  unnest(list_concat(list_transform({tags(urls.LINK_TAG, urls.CANONICAL)}, lambda x: {decoded(f"regexp_extract(x, {quoted(urls.HREF)}, 1)")}), list_transform({tags(urls.META_TAG, urls.IS_REFRESH)}, lambda x: {decoded(f"regexp_extract(x, {quoted(urls.REFRESH)}, 1)")}))) as t from p), {resolved("g", "(select * from raw where t <> '')", "url", "nullif(based, '')")},
+by_ as (select a, t, coalesce(g_to, url) as base from g), {resolved("e", "by_", "base", "t")},
+pair as (select a, e_to as b from e where a is not null and e_to is not null and a <> e_to union select e_to, a from e where a is not null and e_to is not null and a <> e_to),
 bad as (select node from (select node, {host("node")} as host, {path("node")} as path from (select distinct a as node from pair) x) y where {pick(0)} = 'block'),
 reach as (select node from bad union select b from reach join pair on a = node),
-j as (select page_id, a, host, path, {pick(1)} as rule, {pick(0)} as own from p)
+j as (select page_id, p_to as a, host, path, {pick(1)} as rule, {pick(0)} as own from p)
 select page_id, host, path, rule, coalesce(own, case when a in (select node from reach) then 'block' else 'allow' end) as verdict from j
 """
