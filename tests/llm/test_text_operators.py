@@ -456,6 +456,23 @@ def test_minhash_is_brute_force(spark):
     assert kept.columns == docs(spark, rows).columns and kept.where("doc_id = 4").count() == 0 and kept.where("doc_id = 5").count() == 1
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b + " more"), (7, c), (7, d), (7, d), (3, a + " tail"), (9, b + " end"), (8, ""), (None, None), (8, "")]
+    found = by_row(minhash.near_duplicates(docs(spark, rows), percent=80), "doc_id", "component_id", "kept")
+    assert found == Counter([(None, 3, False), (None, 9, False), (None, 9, False), (7, 7, True), (7, 7, True), (7, 7, True), (3, 3, True), (9, 9, True), (8, 8, True), (None, None, True), (8, 8, True)])
+    kept = by_row(minhash.distinct_documents(docs(spark, rows)), "doc_id", "text")
+    assert kept == Counter([(7, c), (7, d), (3, a + " tail"), (9, b + " end"), (8, ""), (8, ""), (None, None)])
+    assert kept == by_row(minhash.distinct_documents(docs(spark, rows).repartition(5)), "doc_id", "text")
+
+
+def test_components_join_hubs_apart(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 2)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 3000 + 1500 and set(got.values()) == {0}
+
+
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
     rng = np.random.default_rng(9)

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so no node's neighbours are ever
-gathered in one place; a join with a hot node is one that Spark can split.
+gathered in one place. Hubs, of which there are HUBS at most, are joined by
+broadcast, so that their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ from pyspark.sql import functions as F
 from tidemill.llm.frames import cut
 
 MAX_ROUNDS = 60
+HUBS = 100_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _least_linked(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``edges`` (u, v) as (v, least of u); u has more than ``hub`` edges for few u."""
+    hubs = F.broadcast(least.where(F.col("n") > hub).select(F.col("u").alias("h"), F.col("m").alias("hm")))
+    met = edges.join(hubs, F.col("u") == F.col("h"), "left")
+    joined = met.where("h IS NULL").select("u", "v").join(least.where(F.col("n") <= hub), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return met.where("h IS NOT NULL").select(F.col("v").alias("u"), F.col("hm").alias("v")).unionByName(joined)
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """edges (u, v) with u > v; links each node's larger (large) or smaller neighbours to its least one."""
     if large:
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        linked = _least_linked(around.where("v > u"), least, hub)
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        linked = _least_linked(edges, least, hub).unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where("u != v").distinct()
 
 
@@ -40,7 +50,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     stars = cut(both.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     state = _state(stars)
     for _ in range(MAX_ROUNDS if state[0] else 0):
-        stars = cut(_star(_star(stars, large=True), large=False))
+        hub = max(1000, 2 * state[0] // HUBS)  # edges have two ends, so HUBS nodes at most have more
+        stars = cut(_star(_star(stars, True, hub), False, hub))
         before, state = state, _state(stars)
         if before == state:
             break

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,49 +181,74 @@ def _sets():
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row.
+def _grouped(source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles (node, mark, n_shingles, d1, d2) of ``source`` (node, mark, text), and (d1, d2, component, least) of each class of equal sets.
 
-    component_id is the least doc_id that links reach, the row's own included;
-    kept says whether it is the row's own. Texts without words, null ones among
-    them, have an empty set and link with nothing. A null doc_id is larger than
-    any other and comes out as null. Repeated rows share a component; each of
-    them is kept or none.
+    A class, not an id, is a node of the graph, so rows that share an id, or
+    have none, are not tied together by it.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("node"), F.col(f"`{text}`").alias("text"))
+    spark = source.sparkSession
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("bands", T.BinaryType())]
-    profiles = cut(add_columns(source, "text", fields, _profile, ["node"], 1 << 20))
+    profiles = cut(add_columns(source, "text", fields, _profile, ["node", "mark"], 1 << 20))
     some = profiles.where("n_shingles > 0")
-    classes = some.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min_by("bands", "node").alias("bands"))
-    classes = cut(classes)
-    # Two classes may share a least document only if ids repeat; they then are one node.
-    banded = classes.select(F.col("rep").alias("node"), "bands").mapInArrow(_spread, "band long, node long")
-    banded = cut(banded)
+    classes = some.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.min_by("bands", F.struct("node", "bands")).alias("bands"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    banded = cut(classes.select(F.col("class").alias("node"), "bands").mapInArrow(_spread, "band long, node long"))
     least = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     coarse = connected_components(banded.join(least, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = cut(coarse.select("node", F.col("component").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
-    members = members.join(sizes, "cluster").join(classes.select(F.col("rep").alias("node"), "d1", "d2"), "node")
-    wanted = source.join(members.select("node", "cluster", "members", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "node")
+    members = members.join(sizes, "cluster").join(classes.select(F.col("class").alias("node"), "rep", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "node")
+    wanted = source.select(F.col("node").alias("rep"), "text").join(members.withColumnRenamed("node", "class"), "rep")
     set_fields = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("shingles", T.BinaryType())]
-    full = add_columns(wanted, "text", set_fields, _sets, ["node", "cluster", "members", "w1", "w2"]).where("d1 = w1 AND d2 = w2").dropDuplicates(["node", "d1", "d2"])
+    full = add_columns(wanted, "text", set_fields, _sets, ["class", "cluster", "members", "w1", "w2"]).where("d1 = w1 AND d2 = w2").dropDuplicates(["class"])
     blocks = F.ceil(F.col("members") / F.lit(BLOCK_DOCS)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = full.select("cluster", "node", "shingles", blocks.alias("blocks"), own.alias("side"))
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    placed = full.select("cluster", F.col("class").alias("node"), "shingles", blocks.alias("blocks"), own.alias("side"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "shingles")
     dealt = placed.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = dealt.mapInArrow(_linked(percent), "a long, b long")
-    parts = connected_components(links)
-    reps = classes.select("d1", "d2", "rep")
-    joined = profiles.select("node", "n_shingles", "d1", "d2").join(reps, ["d1", "d2"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    least_id = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("node"))
+    parts = cut(connected_components(dealt.mapInArrow(_linked(percent), "a long, b long")))
+    tied = classes.select("class", "d1", "d2", "rep").join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    first = tied.groupBy("component").agg(F.min("rep").alias("least"))
+    return profiles, tied.join(first, "component").select("d1", "d2", "component", "least")
+
+
+def _nodes(docs: DataFrame, doc_id: str, text: str, mark: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("node"), mark.alias("mark"), F.col(f"`{text}`").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row.
+
+    component_id is the least doc_id that links reach, the row's own included;
+    kept says whether it is the row's own. Texts without words, null ones among
+    them, have an empty set and link with nothing. A null doc_id is larger than
+    any other and comes out as null. Rows are linked by their texts alone, so
+    rows that share an id may be in different components; repeated rows are in
+    one, and each of them is kept or none.
+    """
+    profiles, classes = _grouped(_nodes(docs, doc_id, text, F.lit(0)), percent)
+    joined = profiles.select("node", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    least = F.coalesce("least", "node")
     shown = lambda c: F.when(c != LAST, c)
-    return joined.select(shown(F.col("node")).alias("doc_id"), "n_shingles", shown(least_id).alias("component_id"), (least_id == F.col("node")).alias("kept"))
+    return joined.select(shown(F.col("node")).alias("doc_id"), "n_shingles", shown(least).alias("component_id"), (least == F.col("node")).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, one for each doc_id."""
-    kept = near_duplicates(docs, doc_id, text, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates([doc_id])
+    """One row of ``docs`` for each component, and all rows whose texts have no words.
+
+    It is the row with the least doc_id, null last; of rows that share it the
+    one whose columns hash lowest, so reruns agree. Rows with the same or no
+    id, but different texts, are documents of their own.
+    """
+    hashed = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    mark = F.xxhash64(*hashed)
+    profiles, classes = _grouped(_nodes(docs, doc_id, text, mark), percent)
+    first = profiles.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("node", "mark")).alias("first"))
+    chosen = first.join(classes, ["d1", "d2"]).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.node").alias("__node"), F.col("first.mark").alias("__mark"))
+    known = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
+    worded = F.coalesce(F.rlike(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.where(worded).withColumns({"__node": known, "__mark": mark})
+    kept = rows.join(chosen, ["__node", "__mark"], "left_semi").dropDuplicates(["__node", "__mark"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
