@@ -103,13 +103,49 @@ def test_suffix_dedup_is_brute_force(spark):
     assert kept[3] == b"and then three" and kept[7] == b""
 
 
-def test_suffix_levels_stay_logarithmic():
+def test_suffix_levels_are_sorted_and_few():
     family, rng = suffixes.Family(), np.random.default_rng(1)
-    for b in range(64):
-        near = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
-        family.add(near, near, np.full(100, b))
-        assert len(family.levels) <= 8
-    assert sum(len(x[0]) for x in family.levels) == 6400
+    wanted, pieces = {}, []
+    for b in range(40):
+        ids = np.sort(rng.integers(0, 30, 20))
+        least, most = np.zeros(20, np.uint8), np.full(20, 3, np.uint8)
+        texts = [bytes(rng.integers(97, 99, 3, dtype=np.uint8)) + b"x" * 50 for _ in range(20)]
+        pieces += list(zip(ids.tolist(), texts))
+        family.add(ids, np.arange(20, dtype=np.uint64), least, most, np.frombuffer(b"".join(texts), np.uint8))
+        sizes = [len(x) for x in family.levels]
+        assert all(a > 2 * c for a, c in zip(sizes, sizes[1:]))
+        for level in family.levels:
+            assert (level.text[1:] >= level.text[:-1]).all()
+    for i, t in pieces:
+        for k in range(4):
+            wanted[t[k : k + 50]] = min(i, wanted.get(t[k : k + 50], i))
+    masks = np.concatenate(family.masks)
+    assert [int(m) for m in masks] == [sum(1 << (3 - k) for k in range(4) if wanted[t[k : k + 50]] < i) for i, t in pieces]
+
+
+def test_anchors_look_after_every_string_once():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 400)] + [b"a" * 300, b"ab" * 150]
+    found = suffixes.Anchors(texts)
+    starts = Counter((d, p - k) for d, p, a, b in zip(found.doc, found.place, found.least, found.most) for k in range(a, b + 1))
+    assert starts == Counter((i, s) for i, t in enumerate(texts) for s in range(len(t) - 49))
+
+
+def test_long_texts_are_read_in_segments(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 5000, dtype=np.uint8)), b"abc" * 1000]
+    whole = suffixes.Anchors(texts)
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    cut = suffixes.Anchors(texts)
+    order = lambda f: np.lexsort((f.place, f.doc))
+    for name in ("doc", "place", "gram", "near", "least", "most", "around"):
+        assert (getattr(whole, name)[order(whole)] == getattr(cut, name)[order(cut)]).all(), name
+    monkeypatch.undo()
+    rng = np.random.default_rng(4)
+    big = bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)).decode()
+    got = {r.doc_id: r for r in suffixes.deduplicate(docs(spark, [(1, big), (2, "z" + big[1000:2_900_000] + "-"), (3, big[::-1])])).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 2_899_000, 1, 0)
+    assert got[2].kept_sha256 == sha("z-")
 
 
 def test_suffix_dedup_on_random_edits(spark):

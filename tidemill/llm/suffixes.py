@@ -1,14 +1,19 @@
 """Substring deduplication by a logarithmic family of suffix arrays.
 
-Suffixes are sampled: of every WIDTH-byte string the GRAM-byte strings with
-the least hash are its anchors, so equal strings have the same anchors. A
-batch of documents sorts its anchored suffixes, which are its suffix array;
-it is merge-scanned against the levels that its bucket already holds, each
-sorted too, and becomes a level of its own. Levels of about equal size merge,
-so there are logarithmically many. Anchors whose whole neighbourhood (every
-WIDTH-byte string around them) occurs in a smaller document are settled by
-that scan; for the rest, at the ends of matches, the neighbourhoods
-themselves are compared, string by string.
+Every WIDTH-byte string of a text is looked after by its anchor, the GRAM-byte
+string in it with the least hash (of equals the first). The strings of one
+anchor begin within REACH bytes of each other, so they travel as one piece of
+text. Hashes only route: a first exchange finds the anchors that several
+documents have, and pieces around these go to buckets by what all their
+strings surely hold.
+
+In a bucket, pieces arrive in batches. A batch's strings are sorted by their
+bytes, which gives its suffix array (suffixes cut to the WIDTH bytes that
+matter); it is merge-scanned against the levels that the bucket holds, in
+which equal strings are found by comparing bytes, and becomes a level of its
+own. Levels of about equal size merge, so there are logarithmically many. A
+level holds each string once for every piece of the least document that has
+it; strings of larger documents are told to go.
 """
 
 from __future__ import annotations
@@ -22,16 +27,16 @@ from pyspark.sql import DataFrame
 
 from tidemill.llm import kernel as K
 from tidemill.llm.exchange import ASKED, ask, by_key, counts, meet, over_groups, pack, rows, settle, unpack
-
 from tidemill.llm.frames import cut
 
 WIDTH = 50
 GRAM = 25
-REACH = WIDTH - GRAM  # strings around an anchor begin up to so many bytes before it
+REACH = WIDTH - GRAM  # strings of an anchor begin up to so many bytes before it
 SPAN = WIDTH + REACH  # bytes of a neighbourhood
-HALF = REACH // 2 + 1
-BLOCK = 192 << 10
-LOCAL, SETTLED, UNCLEAR, MASKED = 1, 1, 2, 3
+HALF = REACH // 2 + 1  # strings that begin fewer bytes before their anchor hold so many after it, the others before it
+BLOCK = 192 << 10  # bytes of text whose hashes are held at a time
+BATCH = 1 << 19  # strings of a batch
+SHARED, BEATEN = 1, 2
 
 
 def _doubled(data: np.ndarray) -> dict[int, np.ndarray]:
@@ -54,32 +59,73 @@ def _pieced(h: dict[int, np.ndarray], width: int, n: int) -> np.ndarray:
     return K.mix(out)
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place in it, hash and neighbourhood hash of each anchor of texts of WIDTH bytes or more."""
-    found = [[], [], [], []]
-    for a, b in K.batches([len(t) for t in texts], BLOCK):
-        own = [i for i in range(a, b) if len(texts[i]) >= WIDTH]
-        if not own:
-            continue
-        gap = b"\xff" * SPAN
-        data = np.frombuffer(gap + gap.join(texts[i] for i in own) + gap, np.uint8)
-        sizes = np.array([len(texts[i]) for i in own])
-        at = SPAN + np.concatenate([[0], np.cumsum(sizes + SPAN)])[:-1]
-        h = _doubled(data)
-        gram, near = _pieced(h, GRAM, len(data)), _pieced(h, SPAN, len(data))
-        order = (gram >> np.uint64(32)).astype(np.uint32)
-        low = K.sliding_min(order, REACH + 1)
-        ends = np.zeros(REACH, np.uint32)
-        high = ~K.sliding_min(~np.concatenate([ends, low, ends]), REACH + 1)
-        place = np.flatnonzero(order == high)
-        doc = np.searchsorted(at, place, side="right") - 1
-        inside = (doc >= 0) & (place + GRAM <= at[doc] + sizes[doc])
-        place, doc = place[inside], doc[inside]
-        for out, part in zip(found, (np.array(own)[doc], place - at[doc], gram[place], near[place - REACH])):
-            out.append(part)
-    if not found[0]:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return tuple(np.concatenate(f) for f in found)
+class Anchors:
+    """Anchors of some texts: number and size of the text, place in it, hash, neighbourhood and its hash, and range of strings.
+
+    The strings of an anchor at p begin from p - most to p - least.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        found: list[list[np.ndarray]] = [[] for _ in range(8)]
+        for segments in _segments(texts):
+            for out, part in zip(found, _anchored(texts, segments)):
+                out.append(part)
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int8, np.int8)
+        self.doc, self.size, self.place, self.gram, self.near, self.least, self.most = (np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds))
+        self.around = np.concatenate(found[7]) if found[7] else np.empty((0, SPAN), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+
+def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
+    """(text, begin, end) of texts with a string, about BLOCK bytes at a time; a long text is several segments."""
+    cuts = [(i, a, min(a + BLOCK, len(t))) for i, t in enumerate(texts) if len(t) >= WIDTH for a in range(0, len(t), BLOCK)]
+    for a, b in K.batches([end - begin for _, begin, end in cuts], BLOCK):
+        yield cuts[a:b]
+
+
+def _anchored(texts: list[bytes], segments: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    gap = b"\xff" * (2 * SPAN)
+    # A segment is read with as much text around it as the strings of its anchors and their rivals reach.
+    lead = [min(a, 2 * SPAN) for _, a, _ in segments]
+    read = [texts[i][a - k : b + 2 * SPAN] for (i, a, b), k in zip(segments, lead)]
+    data = np.frombuffer(gap + gap.join(read) + gap, np.uint8)
+    begin = len(gap) + np.concatenate([[0], np.cumsum([len(r) + len(gap) for r in read])])[:-1]
+    h = _doubled(data)
+    gram = _pieced(h, GRAM, len(data))
+    rank = (gram >> np.uint64(32)).astype(np.uint32)
+    low = K.sliding_min(rank, REACH + 1)
+    ends = np.zeros(REACH, np.uint32)
+    high = ~K.sliding_min(~np.concatenate([ends, low, ends]), REACH + 1)
+    at = np.flatnonzero(rank == high)
+    seg = np.searchsorted(begin, at, side="right") - 1
+    inside = seg >= 0
+    at, seg = at[inside], seg[inside]
+    text, first, last = (np.array(c) for c in zip(*segments))
+    place = at - begin[seg] + first[seg] - np.array(lead)[seg]
+    size = np.array([len(texts[i]) for i, *_ in segments])[seg]
+    mine = (place >= first[seg]) & (place < last[seg]) & (place + GRAM <= size)
+    at, seg, place, size = at[mine], seg[mine], place[mine], size[mine]
+    # How far to the left all rivals are worse, and to the right none is better.
+    left, right, own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), rank[at]
+    going, coming = np.ones(len(at), bool), np.ones(len(at), bool)
+    for k in range(1, REACH + 1):
+        going &= rank[at - k] > own
+        coming &= rank[np.minimum(at + k, len(rank) - 1)] >= own
+        left += going
+        right += coming
+    most = np.minimum(left, place)
+    least = np.maximum(np.maximum(REACH - right, WIDTH - (size - place)), 0)
+    real = most >= least
+    at, seg, place, size, most, least = (c[real] for c in (at, seg, place, size, most, least))
+    around = np.lib.stride_tricks.sliding_window_view(data, SPAN)[at - REACH]
+    # What lies beyond the strings is left out of a neighbourhood.
+    column = np.arange(SPAN)
+    around = np.where((column >= REACH - most[:, None]) & (column < REACH - least[:, None] + WIDTH), around, np.uint8(0))
+    weight = K.mix(np.arange(1, SPAN + 1, dtype=np.uint64))
+    near = K.mix(gram[at] ^ K.mix((K.CODES[around] * weight).sum(1, dtype=np.uint64) + (most * 32 + least).astype(np.uint64)))
+    return [text[seg], size, place, gram[at], near, least.astype(np.int8), most.astype(np.int8), around]
 
 
 def _answers(kind: int, groups: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -88,208 +134,280 @@ def _answers(kind: int, groups: int, ids: np.ndarray, *columns: np.ndarray) -> I
 
 
 def _questions(buckets: int, groups: int):
+    """Asks whether anchors are shared: each with its least document in the chunk."""
+
     def run(ids: np.ndarray, texts: list[bytes]) -> list[tuple[int, int, bytes]]:
-        doc, _, gram, near = anchors(texts)
-        if not len(doc):
+        found = Anchors(texts)
+        if not len(found):
             return []
-        owner = ids[doc]
-        order = np.lexsort((owner, near))
-        near, gram, owner = near[order], gram[order], owner[order]
-        first = np.ones(len(near), bool)
-        first[1:] = near[1:] != near[:-1]
-        least = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
-        out = [(int(g % buckets), -1 - g, p) for g, _, p in _answers(SETTLED, groups, owner[owner > least], near[owner > least])]
-        near, gram, owner = near[first], gram[first], owner[first]
-        for b, at in by_key((gram % np.uint64(buckets)).astype(np.int64), buckets):
-            out.append((b, LOCAL, pack(owner[at], gram[at], near[at])))
+        owner = ids[found.doc]
+        order = np.lexsort((owner, found.gram))
+        gram, owner = found.gram[order], owner[order]
+        first = np.ones(len(gram), bool)
+        first[1:] = gram[1:] != gram[:-1]
+        start = np.flatnonzero(first)
+        # Anchors that several documents of the chunk have are shared; the least asks all the same.
+        spread = np.repeat(owner[start] != owner[np.append(start[1:], len(gram)) - 1], np.diff(np.append(start, len(gram))))
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = first[1:] | (owner[1:] != owner[:-1])
+        known = spread & fresh
+        out = [(int(g % buckets), -1 - g, p) for g, _, p in _answers(SHARED, groups, owner[known], gram[known])]
+        for b, at in by_key((gram[start] % np.uint64(buckets)).astype(np.int64), buckets):
+            out.append((b, 0, pack(owner[start][at], gram[start][at])))
         return out
 
     return run
 
 
-class Family:
-    """Sorted levels of (neighbourhood, anchor hash, least document), halving in size."""
-
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
-        self.beaten: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, near: np.ndarray, gram: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(near, kind="stable")
-        near, gram, ids = near[order], gram[order], ids[order]
-        for level in self.levels:  # merge scan
-            at = np.minimum(np.searchsorted(level[0], near), len(level[0]) - 1)
-            same = level[0][at] == near
-            if not same.any():
-                continue
-            hit, mine = at[same], ids[same]
-            theirs = level[2][hit]
-            later = mine > theirs
-            self.beaten.append((mine[later], near[same][later]))
-            earlier = mine < theirs
-            self.beaten.append((theirs[earlier], near[same][earlier]))
-            level[2][hit[earlier]] = mine[earlier]
-            near, gram, ids = near[~same], gram[~same], ids[~same]
-        if len(near):
-            self.levels.append([near, gram, ids.copy()])
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = [np.concatenate(x) for x in zip(a, b)]
-            order = np.argsort(both[0], kind="stable")
-            self.levels.append([x[order] for x in both])
-
-    def unclear(self) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, neighbourhoods) of anchors that occur with different neighbourhoods in different documents."""
-        if not self.levels:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        near, gram, ids = (np.concatenate(x) for x in zip(*self.levels))
-        order = np.argsort(gram, kind="stable")
-        near, gram, ids = near[order], gram[order], ids[order]
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        size = np.diff(np.concatenate([start, [len(gram)]]))
-        spread = (size > 1) & (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start))
-        pick = np.repeat(spread, size)
-        return ids[pick], near[pick]
-
-
-def _scan(groups: int):
+def _shared(groups: int):
     def run(asked: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        family = Family()
+        parts = []
         for kind, payload in asked:
-            if kind < 0:  # settled within its chunk
-                yield -1 - kind, SETTLED, payload
-                continue
-            ids, gram, near = unpack(payload, np.uint64, np.uint64)
-            family.add(near, gram, ids)
-        if family.beaten:
-            yield from _answers(SETTLED, groups, *(np.concatenate(x) for x in zip(*family.beaten)))
-        yield from _answers(UNCLEAR, groups, *family.unclear())
+            if kind < 0:  # found within its chunk
+                yield -1 - kind, SHARED, payload
+            else:
+                parts.append(unpack(payload, np.uint64))
+        if not parts:
+            return
+        ids, gram = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, gram))
+        ids, gram = ids[order], gram[order]
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        end = np.append(start[1:], len(gram))
+        spread = np.repeat(ids[start] != ids[end - 1], end - start)
+        yield from _answers(SHARED, groups, ids[spread], gram[spread])
 
     return run
 
 
-def _joint(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    return K.mix(near + K.mix(ids.astype(np.uint64)))
+def _known(told: list[tuple[int, bytes]]) -> np.ndarray:
+    """Hashes of shared anchors that a group's documents have."""
+    parts = [unpack(p, np.uint64)[1] for k, p in told if k == SHARED]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _load(told: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
-    """kind -> sorted (document, neighbourhood) keys and, for MASKED, their masks."""
-    out = {}
-    for kind in (SETTLED, UNCLEAR, MASKED):
-        parts = [unpack(p, np.uint64, np.uint32) if kind == MASKED else unpack(p, np.uint64) for k, p in told if k == kind]
-        if parts:
-            joined = [np.concatenate(x) for x in zip(*parts)]
-            key = _joint(joined[0], joined[1])
-            order = np.argsort(key)
-            key = key[order]
-            if kind == MASKED:  # either side of an anchor, and repeated rows, give masks of their own
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                out[kind] = key[start], np.bitwise_or.reduceat(joined[2][order], start)
-            else:
-                out[kind] = key, None
-    return out
+def _within(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(among, keys), max(0, len(among) - 1))
+    return among[at] == keys if len(among) else np.zeros(len(keys), bool)
+
+
+def _wrapped(head: bytes, text: bytes) -> bytes:
+    return len(head).to_bytes(8, "little") + head + text
+
+
+def _unwrapped(payload: bytes) -> tuple[bytes, np.ndarray]:
+    n = int.from_bytes(payload[:8], "little")
+    return payload[8 : 8 + n], np.frombuffer(payload, np.uint8, offset=8 + n)
 
 
-def _where(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are among the sorted ones, and where."""
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    hit = np.flatnonzero(sorted_keys[at] == keys)
-    return hit, at[hit]
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 .. for size[0] numbers, then from start[1] and so on."""
+    if not len(size):
+        return np.empty(0, np.int64)
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _neighbourhoods(buckets: int):
-    """Asks about the strings around unclear anchors: those that reach right and those that reach left apart.
+def _pieces(buckets: int, groups: int):
+    """Sends the piece of each shared anchor, without those a chunk holds twice.
 
-    Either goes with the bytes it surely holds beyond the anchor, so one
-    frequent anchor spreads over many buckets.
+    Strings that begin fewer than HALF bytes before their anchor go by the
+    anchor and the bytes after it that all of them hold, the others by the
+    bytes before it, so a frequent anchor spreads over many buckets.
     """
 
-    def work(told, ids, _, texts) -> list[tuple[int, int, bytes]]:
-        if UNCLEAR not in told:
-            return []
-        doc, place, gram, near = anchors(texts)
-        if not len(doc):
-            return []
-        owner = ids[doc]
-        key = _joint(owner, near)
-        hit, _ = _where(key, told[UNCLEAR][0])
-        _, once = np.unique(key[hit], return_index=True)
-        hit = hit[once]
+    def work(known, ids, _, texts) -> list[tuple[int, int, bytes]]:
+        found = Anchors(texts)
+        hit = np.flatnonzero(_within(found.gram, known))
         if not len(hit):
             return []
-        pad = b"\xff" * SPAN
-        around = np.empty((len(hit), SPAN), np.uint8)
-        for r, i in enumerate(hit):
-            t, p = texts[doc[i]], int(place[i]) - REACH
-            s = t[max(0, p) : p + SPAN]
-            around[r] = np.frombuffer((pad[: max(0, -p)] + s + pad)[:SPAN], np.uint8)
-        out = []
-        for side, sure in ((0, around[:, REACH + GRAM : REACH + GRAM + HALF]), (1, around[:, REACH - HALF + 1 : REACH])):
-            h = np.zeros(len(hit), np.uint64)
-            for c in range(sure.shape[1]):
-                h = h * np.uint64(K._BASE) + K.CODES[sure[:, c]]
-            split = K.mix(h + gram[hit])
-            for b, at in by_key((split % np.uint64(buckets)).astype(np.int64), buckets):
-                out.append((b, side, pack(owner[hit[at]], near[hit[at]], split[at], around[at])))
+        owner, near, around, least, most = (c[hit] for c in (ids[found.doc], found.near, found.around, found.least.astype(np.int64), found.most.astype(np.int64)))
+        gram = found.gram[hit]
+        order = np.lexsort((owner, near))
+        owner, near, around, least, most, gram = (c[order] for c in (owner, near, around, least, most, gram))
+        # Equal pieces lie next to each other; their bytes decide.
+        same = np.zeros(len(owner), bool)
+        same[1:] = (near[1:] == near[:-1]) & (least[1:] == least[:-1]) & (most[1:] == most[:-1]) & (around[1:] == around[:-1]).all(1)
+        lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        later = same & (owner > owner[lead])
+        mask = ((np.int64(1) << (most + 1)) - (np.int64(1) << least)).astype(np.uint32)
+        out = [(int(g % buckets), -1 - g, p) for g, _, p in _answers(BEATEN, groups, owner[later], near[later], mask[later])]
+        owner, near, around, least, most, gram = (c[~same] for c in (owner, near, around, least, most, gram))
+        for side, a, b in ((0, least, np.minimum(most, HALF - 1)), (1, np.maximum(least, HALF), most)):
+            some = np.flatnonzero(a <= b)
+            if not len(some):
+                continue
+            sure = around[some, REACH + GRAM : REACH + GRAM + REACH - HALF + 1] if side == 0 else around[some, REACH - HALF : REACH]
+            route = K.mix(gram[some] + (K.CODES[sure] * K.mix(np.arange(1, sure.shape[1] + 1, dtype=np.uint64) + np.uint64(64 * side))).sum(1, dtype=np.uint64))
+            low, high = a[some], b[some]
+            flat = around.ravel()
+            for bucket, at in by_key((route % np.uint64(buckets)).astype(np.int64), buckets):
+                text = flat[_spans(some[at] * SPAN + REACH - high[at], high[at] - low[at] + WIDTH)]
+                out.append((bucket, 0, _wrapped(pack(owner[some[at]], near[some[at]], low[at].astype(np.uint8), high[at].astype(np.uint8)), text.tobytes())))
         return out
 
     return work
 
 
-def _compare(groups: int):
-    """Masks of the strings around each anchor that a smaller document holds too."""
+class Level:
+    """Strings sorted by their bytes, with their documents and the piece and the offset that each is of."""
+
+    def __init__(self, text: np.ndarray, ids: np.ndarray, piece: np.ndarray, bit: np.ndarray):
+        self.text, self.ids, self.piece, self.bit = text, ids, piece, bit
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, which: np.ndarray) -> Level:
+        return Level(self.text[which], self.ids[which], self.piece[which], self.bit[which])
+
+    @staticmethod
+    def joined(levels: list[Level]) -> Level:
+        """All their strings in order; each level is a run that the sort merges."""
+        both = Level(*(np.concatenate([getattr(x, c) for x in levels]) for c in ("text", "ids", "piece", "bit")))
+        return both.take(np.argsort(both.text, kind="stable"))
+
+
+class Family:
+    """Levels of strings that halve in size, and for each piece a mask of its strings that smaller documents have."""
 
+    def __init__(self):
+        self.levels: list[Level] = []
+        self.ids: list[np.ndarray] = []
+        self.near: list[np.ndarray] = []
+        self.masks: list[np.ndarray] = []
+        self.pieces = 0
+
+    def add(self, ids: np.ndarray, near: np.ndarray, least: np.ndarray, most: np.ndarray, text: np.ndarray) -> None:
+        """A batch of pieces: ``text`` holds one after the other, most - least + WIDTH bytes each."""
+        count = (most - least + 1).astype(np.int64)
+        size = count + WIDTH - 1
+        begin = _spans(np.cumsum(size) - size, count)
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, WIDTH)[begin]).view(f"S{WIDTH}").ravel()
+        piece = np.repeat(np.arange(len(ids)), count)
+        bit = most[piece] - (begin - np.repeat(np.cumsum(size) - size, count))
+        self.ids.append(ids)
+        self.near.append(near)
+        self.masks.append(np.zeros(len(ids), np.uint32))
+        batch = Level(strings, ids[piece], piece + self.pieces, bit.astype(np.uint8))
+        self.pieces += len(ids)
+        batch = self._least(batch.take(np.argsort(batch.text, kind="stable")))
+        for i, level in enumerate(self.levels):
+            batch, self.levels[i] = self._scan(batch, level)
+        self.levels = [x for x in [*self.levels, batch] if len(x)]
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            self.levels[-2:] = [Level.joined(self.levels[-2:])]
+
+    def _beat(self, level: Level, which: np.ndarray) -> None:
+        """Marks strings as held by a smaller document."""
+        starts = np.cumsum([0, *map(len, self.masks)])
+        piece, bit = level.piece[which], np.uint32(1) << level.bit[which].astype(np.uint32)
+        batch = np.searchsorted(starts, piece, side="right") - 1
+        for b in np.unique(batch):
+            on = batch == b
+            np.bitwise_or.at(self.masks[b], piece[on] - starts[b], bit[on])
+
+    def _least(self, level: Level) -> Level:
+        """The strings without those that a smaller document of the same level has too."""
+        if not len(level):
+            return level
+        start = np.flatnonzero(np.concatenate([[True], level.text[1:] != level.text[:-1]]))
+        least = np.repeat(np.minimum.reduceat(level.ids, start), np.diff(np.append(start, len(level))))
+        later = level.ids > least
+        self._beat(level, later)
+        return level.take(~later)
+
+    def _scan(self, batch: Level, level: Level) -> tuple[Level, Level]:
+        """Both without the strings that the other holds for a smaller document."""
+        if not len(batch) or not len(level):
+            return batch, level
+        low = np.searchsorted(level.text, batch.text, side="left")
+        met = level.text[np.minimum(low, len(level) - 1)] == batch.text
+        if not met.any():
+            return batch, level
+        # A level's equal strings are all of one document, and so are a batch's.
+        theirs = level.ids[np.minimum(low, len(level) - 1)]
+        lost = met & (batch.ids > theirs)
+        won = met & (batch.ids < theirs)
+        self._beat(batch, lost)
+        if won.any():
+            first = np.unique(low[won])
+            run = np.searchsorted(level.text, level.text[first], side="right") - first
+            beaten = np.zeros(len(level), bool)
+            beaten[_spans(first, run)] = True
+            self._beat(level, beaten)
+            level = level.take(~beaten)
+        return batch.take(~lost), level
+
+    def beaten(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, neighbourhoods and masks of pieces with a string that goes."""
+        if not self.ids:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+        ids, near, masks = (np.concatenate(x) for x in (self.ids, self.near, self.masks))
+        some = masks > 0
+        return ids[some], near[some], masks[some]
+
+
+def _compared(groups: int):
     def run(asked: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        sides: dict[int, list] = {0: [], 1: []}
-        for side, payload in asked:
-            sides[side].append(unpack(payload, np.uint64, np.uint64, (np.uint8, SPAN)))
-        for side, parts in sides.items():
-            if not parts:
+        family = Family()
+        held, strings = [], 0
+
+        def flush() -> None:
+            family.add(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+
+        for kind, payload in asked:
+            if kind < 0:  # settled within its chunk
+                yield -1 - kind, BEATEN, payload
                 continue
-            ids, near, split, around = (np.concatenate(x) for x in zip(*parts))
-            mask = np.zeros(len(ids), np.uint32)
-            for k in range(HALF) if side == 0 else range(HALF, REACH + 1):
-                s = around[:, REACH - k : REACH - k + WIDTH]
-                whole = ~(s == 0xFF).any(1)
-                h = split.copy()
-                for c in range(WIDTH):
-                    h *= np.uint64(K._BASE)
-                    h += K.CODES[s[:, c]]
-                h = K.mix(h)
-                order = np.argsort(h, kind="stable")
-                start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-                least = np.repeat(np.minimum.reduceat(ids[order], start), np.diff(np.concatenate([start, [len(h)]])))
-                again = np.zeros(len(ids), bool)
-                again[order] = ids[order] > least
-                mask |= np.where(whole & again, np.uint32(1 << k), np.uint32(0))
-            some = mask > 0
-            yield from _answers(MASKED, groups, ids[some], near[some], mask[some])
+            head, text = _unwrapped(payload)
+            ids, near, least, most = unpack(head, np.uint64, np.uint8, np.uint8)
+            held.append((ids, near, least, most, text))
+            strings += int((most - least).sum()) + len(ids)
+            if strings >= BATCH:
+                flush()
+                strings = 0
+        if held:
+            flush()
+        yield from _answers(BEATEN, groups, *family.beaten())
 
     return run
 
 
+def _masks(told: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, neighbourhoods and masks, in the order of both; either side of an anchor gives masks of its own."""
+    parts = [unpack(p, np.uint64, np.uint32) for k, p in told if k == BEATEN]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+    ids, near, mask = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((near, ids))
+    ids, near, mask = ids[order], near[order], mask[order]
+    start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (near[1:] != near[:-1])]))
+    return ids[start], near[start], np.bitwise_or.reduceat(mask, start)
+
+
 def _cover(told, ids: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
     """For each text which bytes go."""
     size = np.array([len(t) for t in texts])
     base = np.concatenate([[0], np.cumsum(size + 1)])
     edge = np.zeros(base[-1] + 1, np.int64)
-    if SETTLED in told or MASKED in told:
-        doc, place, _, near = anchors(texts)
-        key = _joint(ids[doc], near) if len(doc) else near
-        if len(doc) and SETTLED in told:
-            hit, _ = _where(key, told[SETTLED][0])
-            d = doc[hit]
-            low = np.maximum(place[hit] - REACH, 0)
-            high = np.minimum(place[hit], size[d] - WIDTH)
-            np.add.at(edge, base[d] + low, 1)
-            np.add.at(edge, base[d] + high + WIDTH, -1)
-        if len(doc) and MASKED in told:
-            keys, masks = told[MASKED]
-            hit, at = _where(key, keys)
-            for k in range(REACH + 1):
-                on = hit[(masks[at] >> np.uint32(k)) & np.uint32(1) == 1]
-                np.add.at(edge, base[doc[on]] + place[on] - k, 1)
-                np.add.at(edge, base[doc[on]] + place[on] - k + WIDTH, -1)
+    owners, near, masks = told
+    low, high = np.searchsorted(owners, ids), np.searchsorted(owners, ids, side="right")
+    some = np.flatnonzero(low < high)
+    if len(some):
+        found = Anchors([texts[i] for i in some])
+        edges = np.searchsorted(found.doc, np.arange(len(some) + 1))
+        mask = np.zeros(len(found), np.uint32)
+        for k, i in enumerate(some):
+            own = found.near[edges[k] : edges[k + 1]]
+            at = low[i] + np.minimum(np.searchsorted(near[low[i] : high[i]], own), high[i] - low[i] - 1)
+            mask[edges[k] : edges[k + 1]] = np.where(near[at] == own, masks[at], 0)
+        for k in range(REACH + 1):
+            on = np.flatnonzero((mask >> np.uint32(k)) & np.uint32(1))
+            begin = base[some[found.doc[on]]] + found.place[on] - k
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + WIDTH, -1)
     gone = np.cumsum(edge) > 0
     return [gone[base[i] : base[i] + size[i]] for i in range(len(texts))]
 
@@ -307,7 +425,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((d, len(t), n, spans, hashlib.sha256(kept).hexdigest()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    yield from over_groups(batches, _load, work)
+    yield from over_groups(batches, _masks, work)
 
 
 def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,25 +433,20 @@ def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.frombuffer(t, np.uint8)[~g].tobytes() for t, g in zip(texts, _cover(told, ids, texts))]
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
-    yield from over_groups(batches, _load, work)
+    yield from over_groups(batches, _masks, work)
 
 
 def _told(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     buckets, groups = counts(docs.sparkSession)
-    scanned = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _scan(groups)), free=True)
-    # Unclear anchors are a small part of all; fewer buckets keep their blobs large.
-    neighbourhoods = _neighbourhoods(max(1, buckets // 4))
+    shared = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _shared(groups)), free=True)
+    pieces = _pieces(buckets, groups)
 
-    def unclear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in over_groups(batches, _load, neighbourhoods):
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in over_groups(batches, _known, pieces):
             if found:
                 yield rows(ASKED, found)
 
-    def asked() -> DataFrame:
-        return meet(docs, doc_id, text, scanned.where(f"kind = {UNCLEAR}"), groups).mapInArrow(unclear, ASKED)
-
-    compared = cut(settle(asked(), _compare(groups)), free=True)
-    return scanned.where(f"kind = {SETTLED}").unionByName(compared), groups
+    return cut(settle(meet(docs, doc_id, text, shared, groups).mapInArrow(sent, ASKED), _compared(groups)), free=True), groups
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,7 +454,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Null and empty texts have no bytes; texts shorter than WIDTH lose none.
     Rows with the same doc_id, repeated rows among them, are never smaller than
-    each other, and a null doc_id is larger than any other.
+    each other, and a null doc_id is larger than any other. An empty table
+    gives no rows.
     """
     told, groups = _told(docs, doc_id, text)
     return meet(docs, doc_id, text, told, groups).mapInArrow(_removed, RESULT)
@@ -351,5 +465,3 @@ def remaining(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(doc_id, kept): the remaining bytes themselves, under the same rules."""
     told, groups = _told(docs, doc_id, text)
     return meet(docs, doc_id, text, told, groups).mapInArrow(_kept_bytes, "doc_id long, kept binary")
-
-
