@@ -26,6 +26,7 @@ from tidemill.llm.frames import cut, partitions
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 SHARD_DOCS = 500
+SALTS = 64
 SLACK = 1.0  # smaller holds the mean length more strictly
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -166,7 +167,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, doc_id: str = "doc_i
     totals = cut(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n")))
     plan, y, mean, spread = tilt(hist, targets(totals.select("source", "source_size"), weights, cap), cap)
     counted = plan.withColumnRenamed("source", "s").join(totals.select(F.col("source").alias("t"), "n"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    rows = sized.join(counted, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # A source may hold a third of all rows: its rows meet copies of its plan in SALTS places.
+    salted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = sized.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    rows = dealt.join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("dealt") == F.col("salt"))).drop("s", "salt", "dealt")
     z = (F.log(F.greatest("size", F.lit(1))) - F.lit(mean)) / F.lit(spread)
     rate = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.exp(F.col("x") + F.lit(y) * z)))
     rows = rows.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
