@@ -179,11 +179,86 @@ def test_debruijn_is_brute_force(spark):
     assert got == brute_words(rows) and debruijn.deduplicate(empty(spark)).isEmpty()
 
 
-def test_paths_end_at_branches_and_loops():
-    runs = lambda src, edge, word: list(debruijn._runs(np.array(src), np.array(edge, np.uint64), np.array(word), np.zeros(len(word), int), False))
-    assert runs([1, 1, 1, 2, 2], [5, 6, 7, 8, 9], [0, 1, 2, 3, 4]) == [(0, 3), (3, 5)]
-    assert runs([1] * 5, [5, 6, 5, 6, 7], [0, 1, 2, 3, 4]) == [(0, 2), (2, 5)]
-    assert runs([1, 1], [5, 6], [0, 2]) == [(0, 1), (1, 2)] and runs([], [], []) == []
+def test_spans_follow_one_path_in_one_source():
+    def found(line, src, pos, word):
+        n = len(line)
+        a, b = debruijn.spans(np.array(line, np.uint64), np.array(src), np.array(pos, np.uint32), np.array(word), np.zeros(n, int))
+        return list(zip(a.tolist(), b.tolist()))
+
+    assert found([5, 6, 7, 40, 41], [1, 1, 1, 2, 2], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]) == [(0, 3), (3, 5)]
+    assert found([5, 6, 5, 6], [1] * 4, [0, 1, 0, 1], [0, 1, 2, 3]) == [(0, 2), (2, 4)]
+    assert found([5, 6], [1, 1], [0, 1], [0, 2]) == [(0, 1), (1, 2)] and found([], [], [], []) == []
+
+
+def test_runs_are_chained_by_doubling(spark):
+    runs = spark.createDataFrame([(i, 1000 + i, i + 1) for i in range(20)] + [(50, 1050, 3), (51, 1051, 4), (52, 1052, 9)], "head long, tail long, size long")
+    links = spark.createDataFrame([(1000 + i, i + 1, 7) for i in range(19)] + [(1050, 51, 7), (1051, 50, 7), (1052, 52, 7)], "came long, went long, src long")
+    got = {r.head: (r.path, r.far) for r in debruijn.chained(links, runs).collect()}
+    assert got == {k: (0, k * (k + 1) // 2) for k in range(1, 20)}
+    assert debruijn.chained(links.where("false"), runs).isEmpty()
+
+
+def test_nonbranching_paths_of_a_graph(spark):
+    """Repeated windows of two sources that meet: paths, coordinates and branch points against a plain walk."""
+    line = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(line[:40]), 2: "x " + " ".join(line[20:]), 3: " ".join(line), 4: " ".join(line[30:]) + " fork one two", 5: " ".join(line[30:]) + " fork three", 6: "fork " + " ".join(line[:5]), 7: "loop " * 30, 8: "z " + "loop " * 20}
+    rows = list(texts.items())
+    assert by_row(debruijn.deduplicate(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
+    groups = 1
+    told = debruijn.settle(debruijn.ask(docs(spark, rows), "doc_id", "text", debruijn._questions(3, groups)), debruijn._repeated(groups))
+    pieces = debruijn.cut(debruijn._as_blobs(debruijn.meet(docs(spark, rows), "doc_id", "text", told.where("kind = 1"), groups), *debruijn._pieces(groups)))
+    held = [debruijn.Pieces(bytes(r.payload)) for r in pieces.collect()]
+    edge = {int(e): (int(s), int(p)) for h in held for e, s, p in zip(h.edge, h.src, h.pos)}
+    into, out = {}, {}
+    for h in held:
+        for e, a, b in zip(h.edge.tolist(), h.leaves.tolist(), h.reaches.tolist()):
+            out.setdefault(a, []).append(e)
+            into.setdefault(b, []).append(e)
+    follows = {into[n][0]: out[n][0] for n in into if len(into[n]) == 1 and len(out.get(n, [])) == 1 and into[n] != out[n]}
+    placed = debruijn._over_pieces(debruijn.graph(pieces, groups).unionByName(pieces), debruijn._coordinates(3), debruijn.ASKED).collect()
+    line_of = {}
+    for r in placed:
+        src, e, at, pos = debruijn.unpack(bytes(r.payload), np.uint64, np.uint64, np.uint32)
+        assert all(edge[int(k)] == (int(s), int(p)) for k, s, p in zip(e, src, pos))
+        line_of |= dict(zip(e.tolist(), at.tolist()))
+    assert line_of.keys() == edge.keys() and len(set(line_of.values())) == len(edge) > 30
+    for e, at in line_of.items():
+        nxt = follows.get(e)
+        assert nxt is None or line_of[nxt] == (at + 1) % (1 << 64)
+    assert len([e for e in follows if edge[follows[e]] != (edge[e][0], edge[e][1] + 1)]) >= 1
+
+
+def test_shared_hashes_are_told_apart(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, "a " + " ".join(words[:30])), (3, " ".join(f"v{i}" for i in range(30))), (4, " ".join(words[10:]))]
+    found = debruijn.Edges([t.encode() for _, t in rows])
+    clash = {int(found.hash[found.bounds[2] + 3]): int(found.hash[5])}  # a window of 3 passes for one of 1
+
+    class Clashing(debruijn.Edges):
+        def __init__(self, texts):
+            super().__init__(texts)
+            for a, b in clash.items():
+                self.hash = np.where(self.hash == np.uint64(a), np.uint64(b), self.hash)
+
+    import tidemill.llm.debruijn as module
+
+    blobs = [(1, " ".join(words)), (3, rows[2][1])]
+    p = module._pieces(1)
+    with monkeypatch.context() as m:
+        m.setattr(module, "Edges", Clashing)
+        load, work = p
+        told = load([(module.SOURCE, module.pack(np.array([1]), np.array([list(clash.values())[0]], np.uint64)))])
+        piece = module.Pieces(work(told, np.array([1, 3]), [1, 3], [t.encode() for _, t in blobs])[0][2])
+        load, work = module._removed(1, False)
+        path = (module.PATH, module.pack(piece.src, piece.edge, np.array([9], np.uint64), piece.pos))
+        batch = work(load([path]), np.array([1, 3]), [1, 3], [t.encode() for _, t in blobs])
+        ask = [(k, b) for g, k, b in zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "payload"))) if k is not None]
+        raw = module._wrapped(module.pack(piece.src, piece.edge, piece.leaves, piece.reaches, piece.pos), np.array([len(piece.text)], np.uint32).tobytes(), piece.text)
+        denied = list(module._refused(iter([*ask, (module.PIECE, raw)])))
+        assert len(denied) == 1
+        again = work(load([path, (module.DENIED, denied[0].column("payload")[0].as_py())]), np.array([1, 3]), [1, 3], [t.encode() for _, t in blobs])
+        assert again.column("n_removed").to_pylist() == [0, 0]
+    assert by_row(debruijn.deduplicate(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
 
 
 def brute_quality(t):
