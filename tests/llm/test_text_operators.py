@@ -126,7 +126,7 @@ def test_suffix_levels_are_sorted_and_few():
 def test_anchors_look_after_every_string_once():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 400)] + [b"a" * 300, b"ab" * 150]
-    found = suffixes.Anchors(texts)
+    found = suffixes.Anchors(texts, strings=True)
     starts = Counter((d, p - k) for d, p, a, b in zip(found.doc, found.place, found.least, found.most) for k in range(a, b + 1))
     assert starts == Counter((i, s) for i, t in enumerate(texts) for s in range(len(t) - 49))
 
@@ -134,9 +134,9 @@ def test_anchors_look_after_every_string_once():
 def test_long_texts_are_read_in_segments(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [bytes(rng.integers(97, 123, 5000, dtype=np.uint8)), b"abc" * 1000]
-    whole = suffixes.Anchors(texts)
+    whole = suffixes.Anchors(texts, strings=True)
     monkeypatch.setattr(suffixes, "BLOCK", 700)
-    cut = suffixes.Anchors(texts)
+    cut = suffixes.Anchors(texts, strings=True)
     order = lambda f: np.lexsort((f.place, f.doc))
     for name in ("doc", "place", "gram", "near", "least", "most", "around"):
         assert (getattr(whole, name)[order(whole)] == getattr(cut, name)[order(cut)]).all(), name
@@ -356,7 +356,7 @@ def expressions(text):
     return [padded[k : k + 5] for k in range(len(body))]
 
 
-def test_toxicity_counts_every_expression_apart(spark):
+def test_toxicity_is_kneser_ney_and_counts_every_expression_apart(spark, monkeypatch):
     rng = np.random.default_rng(12)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789é"), 7)) for _ in range(n))
     texts = {i: words(150) for i in range(1, 241)}
@@ -375,11 +375,25 @@ def test_toxicity_counts_every_expression_apart(spark):
         for g, n in counts[y].items():
             before[y][g[:4]] += n
             after[y][g[:4]] += 1
-    low, low_context = Counter(g[2:] for g in kinds), Counter(g[2:4] for g in kinds)
+    grams = {5: Counter({g: 1 for g in kinds})}
+    for k in (4, 3, 2, 1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def shared(g):
+        """How likely the last character follows the others."""
+        follow = [n for h, n in grams[len(g)].items() if h[:-1] == g[:-1]]
+        less = shared(g[1:]) if len(g) > 1 else 1 / 256
+        return (max(grams[len(g)][g] - 0.95, 0) + 0.95 * len(follow) * less) / sum(follow) if follow else less
+
+    seen = {r.low: r.shared for r in toxicity.shared_backoff(spark.createDataFrame([(int.from_bytes(g, "big"),) for g in kinds], "key long")).collect()}
+    some = sorted(grams[4])[::97]
+    assert len(seen) == len(grams[4]) and all(abs(seen[int.from_bytes(g, "big")] - shared(g)) < 1e-12 for g in some)
+    for context in (some[0][:3], some[-1][:3], b"zzz"):
+        assert abs(sum(shared(context + bytes([c])) for c in range(256)) - 1) < 1e-9
 
     def ratio(g):
-        shared = (low[g[2:]] + 0.02) / (low_context[g[2:4]] + 1)
-        p = [(max(counts[y][g] - 0.95, 0) + 0.95 * max(after[y][g[:4]], 1) * shared) / before[y][g[:4]] if before[y][g[:4]] else shared for y in (0, 1)]
+        back = seen.get(int.from_bytes(g[1:], "big"), 1e-3)  # of an unseen one any value gives the same ratio
+        p = [(max(counts[y][g] - 0.95, 0) + 0.95 * after[y][g[:4]] * back) / before[y][g[:4]] if before[y][g[:4]] else back for y in (0, 1)]
         return np.log(p[1]) - np.log(p[0])
 
     def expected(text):
@@ -390,6 +404,12 @@ def test_toxicity_counts_every_expression_apart(spark):
 
     got = {r.doc_id: r.score for r in toxicity.score(d, fitted).collect()}
     assert got.keys() == texts.keys() and all(abs(got[i] - expected(t)) < 1e-6 for i, t in texts.items())
+    # A larger table is asked bucket by bucket, and says the same.
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 0)
+    asked = {r.doc_id: r.score for r in toxicity.score(d, fitted).collect()}
+    assert asked.keys() == got.keys() and all(abs(got[i] - asked[i]) < 1e-6 for i in got)
+    again = toxicity.fit(d, labels)
+    assert again.rows == fitted.rows and np.allclose(again.calibration, fitted.calibration, rtol=1e-3)
 
 
 def test_fingerprints_follow_edits(spark):

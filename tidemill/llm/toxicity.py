@@ -2,19 +2,21 @@
 
 Two interpolated Kneser-Ney models over the characters of words, one of toxic
 and one of ordinary labelled documents, tell how likely each class makes the
-next character after the four before it. Both back off to the same
-distribution, the continuation counts of the two classes together, so an
-expression that neither class has seen speaks for neither and one seen rarely
-speaks softly. A text's evidence is the length-normalised log-likelihood
-ratio over the whole of it and over its most toxic stretch of a word or so; a
-logistic calibration turns both into a score.
-
-Counts cover every labelled training document but a tenth, from which the
-calibration takes its bounded sample. They are exact: what they say about each
-expression is a row of a written table that grows with the corpus. Texts are
-dealt into groups, which ask it for their distinct expressions, bucket by
-bucket, so a task holds one bucket of the table or a chunk of texts and the
-answers of its group. Groups and buckets follow the session's partitions.
+next character after the four before it. Both back off to the same lower
+orders, four characters down to one and then to a uniform floor, whose counts
+are continuation counts of the two classes together, so an expression that
+neither class has seen speaks for neither and one seen rarely speaks softly. A
+text's evidence is the length-normalised log-likelihood ratio over the whole
+of it and over its most toxic stretch of a word or so; a logistic calibration
+turns both into a score.
+
+Counts cover all labelled training documents but the calibration's bounded
+sample. They are exact: what they say about each expression is a row of a
+written table that grows with the corpus. While that table is small (its size
+is checked) every task holds it. Beyond that, texts are dealt into groups,
+which ask it for their distinct expressions, bucket by bucket, so a task holds
+one bucket of the table or a chunk of texts and the answers of its group.
+Groups and buckets follow the session's partitions.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from pyspark.sql import types as T
 
 from tidemill.llm import kernel as K
 from tidemill.llm.exchange import TEXTS, by_key, pack, per_group, unpack
-from tidemill.llm.frames import CHUNK_BYTES, cut, partitions, slices
+from tidemill.llm.frames import CHUNK_BYTES, add_columns, cut, partitions, slices
 
 ORDER = 5  # characters (UTF-8 bytes) of an expression; they fit one long
-LOW = 3  # characters of the shared backoff's expressions
 DISCOUNT = 0.95
+FLOOR = 1 / 256  # of each character, whatever was seen
+HELD_BYTES = 64 << 20  # of a table that every task holds
 STRETCH = 10  # characters
 CALIBRATION_DOCS = 8_000
 GRAMS, CONTEXTS, ASK = 0, 1, 2  # kinds of ROWS in a bucket, in the order they are read
@@ -96,22 +99,25 @@ def _measures(ratio: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Fitted:
-    """The written table of log-likelihood ratios, packed in buckets, and the calibration of evidence."""
+    """The written table of log-likelihood ratios, packed in buckets, its rows, and the calibration of evidence."""
 
     table: DataFrame
     buckets: int
+    rows: int
     calibration: tuple[float, float, float]
 
 
 def _labels(labels: DataFrame, doc_id: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(id, y) of training labels: nine tenths for counts and, apart from them, the calibration's sample.
+    """(id, y) of training labels: those for counts and, apart from them, the calibration's sample, of a tenth and CALIBRATION_DOCS at most.
 
     Of a document labelled twice the larger label counts.
     """
     y = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     y = y.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
     tenth = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(10)) == 0
-    return y.where(~tenth), y.where(tenth).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_DOCS)
+    sample = cut(y.where(tenth).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATION_DOCS))
+    # The sample is bounded, so it is broadcast.
+    return y.join(F.broadcast(sample.select("id")), "id", "left_anti"), sample
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +132,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c - c1), pa.array(c1)], names=["key", "c0", "c1"])
 
 
+def shared_backoff(types: DataFrame) -> DataFrame:
+    """(low, shared): how likely the last of ORDER - 1 characters follows the others, from continuation counts of distinct ``types`` (key).
+
+    An expression of k characters counts once for each character before it that
+    makes it a distinct expression of k + 1. Every order is interpolated with
+    the one below, the lowest with FLOOR, so the characters after a context
+    have probabilities that add up to 1.
+    """
+    orders = []
+    for k in range(ORDER - 1, 0, -1):
+        known = types if not orders else orders[-1]
+        low = F.col("key").bitwiseAND((1 << 8 * k) - 1)
+        orders.append(cut(known.select(low.alias("key")).groupBy("key").agg(F.count("*").alias("n"))))
+    below = None
+    for grams in reversed(orders):
+        context = F.shiftright("key", 8)
+        totals = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        met = grams.join(totals.withColumnRenamed("context", "__context"), context == F.col("__context"))
+        less = F.lit(FLOOR)
+        if below is not None:
+            k, lower = below
+            met = met.join(lower, F.col("key").bitwiseAND((1 << 8 * k) - 1) == F.col("low"))
+            less = F.col("shared")
+        p = (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * less) / F.col("total")
+        size = 1 if below is None else below[0] + 1
+        below = size, cut(met.select(F.col("key").alias("low"), p.alias("shared")))
+    return below[1]
+
+
 def _ratios(types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, ratio) of each expression and of each context, the latter for expressions not seen in it."""
-    low = F.col("key").bitwiseAND((1 << 8 * LOW) - 1)
-    types = types.withColumns({"context": F.shiftright("key", 8), "low": low, "low_context": F.shiftright(low, 8)})
+    types = types.withColumns({"context": F.shiftright("key", 8), "low": F.col("key").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)})
     kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
     contexts = types.groupBy("context").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), kinds("c0").alias("k0"), kinds("c1").alias("k1"))
-    endings = types.groupBy("low", "low_context").agg(F.count("*").alias("ends"))
-    before = types.groupBy("low_context").agg(F.count("*").alias("begins"))
-    shared = endings.join(before, "low_context").select("low", ((F.col("ends") + 0.02) / (F.col("begins") + 1.0)).alias("shared"))
 
     def ratio(count, backoff):
-        p = lambda k: (F.greatest(count(k) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.greatest(F.col(f"k{k}"), F.lit(1)) * backoff) / F.col(f"n{k}")
+        p = lambda k: (F.greatest(count(k) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"k{k}") * backoff) / F.col(f"n{k}")
         log = lambda k: F.log(F.when(F.col(f"n{k}") > 0, p(k)).otherwise(backoff))
         return (log(1) - log(0)).alias("ratio")
 
-    seen = types.join(contexts, "context").join(shared, "low").select("key", ratio(lambda k: F.col(f"c{k}"), F.col("shared")))
+    seen = types.join(contexts, "context").join(shared_backoff(types), "low").select("key", ratio(lambda k: F.col(f"c{k}"), F.col("shared")))
     # The backoff of an expression that was not seen is the same factor in both classes.
     return seen, contexts.select(F.col("context").alias("key"), ratio(lambda k: F.lit(0), F.lit(1.0)))
 
@@ -268,8 +299,34 @@ def _scored(keep: list[str], text: str):
     return run
 
 
-def _evidence(docs: DataFrame, text: str, keep: list[str], table: DataFrame, count: int) -> DataFrame:
-    """Kept columns of each row, ``__mean`` and ``__peak`` of its text."""
+def _held(table: DataFrame) -> list[np.ndarray]:
+    """Keys and ratios of expressions, then of contexts, in order."""
+    blobs = table.select("kind", "payload").toArrow().to_pylist()
+    return [c for kind in (GRAMS, CONTEXTS) for c in _sorted([r["payload"] for r in blobs if r["kind"] == kind])]
+
+
+def _directly(docs: DataFrame, text: str, keep: list[str], table: DataFrame) -> DataFrame:
+    """``_evidence`` by a table that every task holds."""
+    known = docs.sparkSession.sparkContext.broadcast(_held(table))
+    fields = [T.StructField("__mean", T.DoubleType()), T.StructField("__peak", T.DoubleType())]
+
+    def make():
+        def run(texts):
+            key, doc = _grams(texts)
+            key, at = np.unique(key, return_inverse=True)
+            grams, gram_ratio, contexts, context_ratio = known.value
+            ratio = _look_up([grams, gram_ratio], key, _look_up([contexts, context_ratio], key >> 8, np.zeros(len(key))))
+            return [pa.array(c) for c in _measures(ratio[at], doc, len(texts)).T]
+
+        return run
+
+    return add_columns(docs, text, fields, make, keep)
+
+
+def _evidence(docs: DataFrame, text: str, keep: list[str], table: DataFrame, count: int, size: int) -> DataFrame:
+    """Kept columns of each row, ``__mean`` and ``__peak`` of its text; ``size``: rows of the table, of 16 bytes."""
+    if 16 * size <= HELD_BYTES:
+        return _directly(docs, text, keep, table)
     n = partitions(docs.sparkSession)
     kept = [docs.schema[c] for c in keep]
     # Groups follow from what a row holds, so that both passes deal alike.
@@ -288,15 +345,21 @@ def _evidence(docs: DataFrame, text: str, keep: list[str], table: DataFrame, cou
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Fitted:
-    """Counts over the labelled training rows, then three calibration numbers on a bounded sample apart from them."""
+    """Counts over the labelled training rows, then three calibration numbers on a bounded sample apart from them.
+
+    Rows with a null id, text or label are left out; of a document labelled
+    twice the larger label counts, and of several rows of a labelled id all do.
+    Without labels of both kinds the score is one number for all texts.
+    """
     counting, sample = _labels(labels, doc_id, label)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     count = partitions(docs.sparkSession)
     types = cut(_counts(texts, counting), free=True)
     seen, unseen = _ratios(types)
     table = cut(_packed(seen, GRAMS, count).unionByName(_packed(unseen, CONTEXTS, count)))
+    size = types.agg(F.count("*") + F.count_distinct(F.shiftright("key", 8))).first()[0]
     # The sample is bounded, so it is broadcast.
-    return Fitted(table, count, _calibrate(_evidence(texts.join(F.broadcast(sample), "id"), "text", ["id", "y"], table, count)))
+    return Fitted(table, count, size, _calibrate(_evidence(texts.join(F.broadcast(sample), "id"), "text", ["id", "y"], table, count, size)))
 
 
 def _calibrate(rows: DataFrame) -> tuple[float, float, float]:
@@ -321,5 +384,5 @@ def score(docs: DataFrame, fitted: Fitted, text: str = "text", keep: tuple[str,
     carried = [c for c in dict.fromkeys(keep) if c != "score"]
     a, b, c = fitted.calibration
     x = F.lit(a) + b * F.col("__mean") + c * F.col("__peak")
-    found = _evidence(docs, text, carried, fitted.table, fitted.buckets)
+    found = _evidence(docs, text, carried, fitted.table, fitted.buckets, fitted.rows)
     return found.select(*[F.col(f"`{k}`") for k in carried], (1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
