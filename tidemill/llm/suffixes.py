@@ -35,7 +35,7 @@ REACH = WIDTH - GRAM  # strings of an anchor begin up to so many bytes before it
 SPAN = WIDTH + REACH  # bytes of a neighbourhood
 HALF = REACH // 2 + 1  # strings that begin fewer bytes before their anchor hold so many after it, the others before it
 BLOCK = 192 << 10  # bytes of text whose hashes are held at a time
-BATCH = 1 << 19  # strings of a batch
+BATCH = 1 << 20  # strings of a batch
 SHARED, BEATEN = 1, 2
 
 
@@ -60,17 +60,19 @@ def _pieced(h: dict[int, np.ndarray], width: int, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of some texts: number and size of the text, place in it, hash, neighbourhood and its hash, and range of strings.
+    """Anchors of some texts: number and size of the text, place in it, hash, and hash of the SPAN bytes around.
 
-    The strings of an anchor at p begin from p - most to p - least.
+    Rivals are ranked once for a segment of text; ``strings`` tells more of
+    those anchors that turn out to matter.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], wanted: np.ndarray | None = None, strings: bool = False):
+        """Of all texts; only anchors with hashes among the sorted ``wanted``; with ``strings`` also least, most and around."""
         found: list[list[np.ndarray]] = [[] for _ in range(8)]
         for segments in _segments(texts):
-            for out, part in zip(found, _anchored(texts, segments)):
+            for out, part in zip(found, _anchored(texts, segments, wanted, strings)):
                 out.append(part)
-        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int8, np.int8)
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)
         self.doc, self.size, self.place, self.gram, self.near, self.least, self.most = (np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds))
         self.around = np.concatenate(found[7]) if found[7] else np.empty((0, SPAN), np.uint8)
 
@@ -85,29 +87,33 @@ def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
         yield cuts[a:b]
 
 
-def _anchored(texts: list[bytes], segments: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    gap = b"\xff" * (2 * SPAN)
+def _anchored(texts: list[bytes], segments: list[tuple[int, int, int]], wanted: np.ndarray | None, strings: bool) -> list[np.ndarray]:
     # A segment is read with as much text around it as the strings of its anchors and their rivals reach.
-    lead = [min(a, 2 * SPAN) for _, a, _ in segments]
-    read = [texts[i][a - k : b + 2 * SPAN] for (i, a, b), k in zip(segments, lead)]
+    gap = b"\xff" * (2 * SPAN)
+    lead = np.array([min(a, 2 * SPAN) for _, a, _ in segments])
+    read = [texts[i][a - k : b + 2 * SPAN] for (i, a, b), k in zip(segments, lead.tolist())]
     data = np.frombuffer(gap + gap.join(read) + gap, np.uint8)
     begin = len(gap) + np.concatenate([[0], np.cumsum([len(r) + len(gap) for r in read])])[:-1]
     h = _doubled(data)
-    gram = _pieced(h, GRAM, len(data))
+    gram, near = _pieced(h, GRAM, len(data)), _pieced(h, SPAN, len(data))
     rank = (gram >> np.uint64(32)).astype(np.uint32)
     low = K.sliding_min(rank, REACH + 1)
     ends = np.zeros(REACH, np.uint32)
     high = ~K.sliding_min(~np.concatenate([ends, low, ends]), REACH + 1)
     at = np.flatnonzero(rank == high)
     seg = np.searchsorted(begin, at, side="right") - 1
-    inside = seg >= 0
-    at, seg = at[inside], seg[inside]
+    at, seg = at[seg >= 0], seg[seg >= 0]
     text, first, last = (np.array(c) for c in zip(*segments))
-    place = at - begin[seg] + first[seg] - np.array(lead)[seg]
+    place = at - begin[seg] + first[seg] - lead[seg]
     size = np.array([len(texts[i]) for i, *_ in segments])[seg]
     mine = (place >= first[seg]) & (place < last[seg]) & (place + GRAM <= size)
+    if wanted is not None:
+        mine &= _within(gram[at], wanted)
     at, seg, place, size = at[mine], seg[mine], place[mine], size[mine]
-    # How far to the left all rivals are worse, and to the right none is better.
+    columns = [text[seg], size, place, gram[at], near[at - REACH]]
+    if not strings:
+        return columns
+    # An anchor's strings begin from ``most`` to ``least`` bytes before it: to its left all rivals are worse, to its right none is better.
     left, right, own = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), rank[at]
     going, coming = np.ones(len(at), bool), np.ones(len(at), bool)
     for k in range(1, REACH + 1):
@@ -118,14 +124,8 @@ def _anchored(texts: list[bytes], segments: list[tuple[int, int, int]]) -> list[
     most = np.minimum(left, place)
     least = np.maximum(np.maximum(REACH - right, WIDTH - (size - place)), 0)
     real = most >= least
-    at, seg, place, size, most, least = (c[real] for c in (at, seg, place, size, most, least))
-    around = np.lib.stride_tricks.sliding_window_view(data, SPAN)[at - REACH]
-    # What lies beyond the strings is left out of a neighbourhood.
-    column = np.arange(SPAN)
-    around = np.where((column >= REACH - most[:, None]) & (column < REACH - least[:, None] + WIDTH), around, np.uint8(0))
-    weight = K.mix(np.arange(1, SPAN + 1, dtype=np.uint64))
-    near = K.mix(gram[at] ^ K.mix((K.CODES[around] * weight).sum(1, dtype=np.uint64) + (most * 32 + least).astype(np.uint64)))
-    return [text[seg], size, place, gram[at], near, least.astype(np.int8), most.astype(np.int8), around]
+    around = np.lib.stride_tricks.sliding_window_view(data, SPAN)[at[real] - REACH]
+    return [c[real] for c in (*columns, least, most)] + [around]
 
 
 def _answers(kind: int, groups: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -133,6 +133,12 @@ def _answers(kind: int, groups: int, ids: np.ndarray, *columns: np.ndarray) -> I
         yield g, kind, pack(ids[at], *(c[at] for c in columns))
 
 
+def _grams(groups: int, ids: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(group, distinct hashes) of documents' anchors."""
+    for g, at in by_key(np.mod(ids, groups), groups):
+        yield g, np.unique(gram[at]).tobytes()
+
+
 def _questions(buckets: int, groups: int):
     """Asks whether anchors are shared: each with its least document in the chunk."""
 
@@ -151,7 +157,7 @@ def _questions(buckets: int, groups: int):
         fresh = np.ones(len(gram), bool)
         fresh[1:] = first[1:] | (owner[1:] != owner[:-1])
         known = spread & fresh
-        out = [(int(g % buckets), -1 - g, p) for g, _, p in _answers(SHARED, groups, owner[known], gram[known])]
+        out = [(int(g % buckets), -1 - g, p) for g, p in _grams(groups, owner[known], gram[known])]
         for b, at in by_key((gram[start] % np.uint64(buckets)).astype(np.int64), buckets):
             out.append((b, 0, pack(owner[start][at], gram[start][at])))
         return out
@@ -175,14 +181,15 @@ def _shared(groups: int):
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         end = np.append(start[1:], len(gram))
         spread = np.repeat(ids[start] != ids[end - 1], end - start)
-        yield from _answers(SHARED, groups, ids[spread], gram[spread])
+        for g, p in _grams(groups, ids[spread], gram[spread]):
+            yield g, SHARED, p
 
     return run
 
 
 def _known(told: list[tuple[int, bytes]]) -> np.ndarray:
     """Hashes of shared anchors that a group's documents have."""
-    parts = [unpack(p, np.uint64)[1] for k, p in told if k == SHARED]
+    parts = [np.frombuffer(p, np.uint64) for k, p in told if k == SHARED]
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -192,12 +199,12 @@ def _within(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def _wrapped(head: bytes, text: bytes) -> bytes:
-    return len(head).to_bytes(8, "little") + head + text
+    return len(head).to_bytes(8, "little") + len(text).to_bytes(8, "little") + head + pa.compress(text, "zstd", asbytes=True)
 
 
 def _unwrapped(payload: bytes) -> tuple[bytes, np.ndarray]:
-    n = int.from_bytes(payload[:8], "little")
-    return payload[8 : 8 + n], np.frombuffer(payload, np.uint8, offset=8 + n)
+    n, size = (int.from_bytes(payload[i : i + 8], "little") for i in (0, 8))
+    return payload[16 : 16 + n], np.frombuffer(pa.decompress(payload[16 + n :], size, "zstd", asbytes=True), np.uint8)
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -217,17 +224,16 @@ def _pieces(buckets: int, groups: int):
     """
 
     def work(known, ids, _, texts) -> list[tuple[int, int, bytes]]:
-        found = Anchors(texts)
-        hit = np.flatnonzero(_within(found.gram, known))
-        if not len(hit):
+        found = Anchors(texts, known, True) if len(known) else ()
+        if not len(found):
             return []
-        owner, near, around, least, most = (c[hit] for c in (ids[found.doc], found.near, found.around, found.least.astype(np.int64), found.most.astype(np.int64)))
-        gram = found.gram[hit]
+        owner, near, around, least, most, gram = ids[found.doc], found.near, found.around, found.least, found.most, found.gram
         order = np.lexsort((owner, near))
         owner, near, around, least, most, gram = (c[order] for c in (owner, near, around, least, most, gram))
-        # Equal pieces lie next to each other; their bytes decide.
+        # Equal neighbourhoods lie next to each other; their bytes decide.
         same = np.zeros(len(owner), bool)
-        same[1:] = (near[1:] == near[:-1]) & (least[1:] == least[:-1]) & (most[1:] == most[:-1]) & (around[1:] == around[:-1]).all(1)
+        twin = np.flatnonzero((near[1:] == near[:-1]) & (least[1:] == least[:-1]) & (most[1:] == most[:-1])) + 1
+        same[twin] = (around[twin] == around[twin - 1]).all(1)
         lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
         later = same & (owner > owner[lead])
         mask = ((np.int64(1) << (most + 1)) - (np.int64(1) << least)).astype(np.uint32)
@@ -282,13 +288,27 @@ class Family:
         """A batch of pieces: ``text`` holds one after the other, most - least + WIDTH bytes each."""
         count = (most - least + 1).astype(np.int64)
         size = count + WIDTH - 1
-        begin = _spans(np.cumsum(size) - size, count)
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, WIDTH)[begin]).view(f"S{WIDTH}").ravel()
-        piece = np.repeat(np.arange(len(ids)), count)
-        bit = most[piece] - (begin - np.repeat(np.cumsum(size) - size, count))
+        start = np.cumsum(size) - size
+        # Pieces that are equal as a whole need be looked at once.
+        whole = np.zeros((len(ids), SPAN + 2), np.uint8)
+        whole[np.repeat(np.arange(len(ids)), size), _spans(np.zeros(len(ids), np.int64), size)] = text
+        whole[:, SPAN], whole[:, SPAN + 1] = least + 1, most + 1
+        whole = whole.view(f"S{SPAN + 2}").ravel()
+        order = np.lexsort((ids, whole))
+        first = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        mask = np.zeros(len(ids), np.uint32)
+        later = order[ids[order] > ids[order][lead]]
+        mask[later] = ((np.int64(1) << (most[later].astype(np.int64) + 1)) - (np.int64(1) << least[later].astype(np.int64))).astype(np.uint32)
         self.ids.append(ids)
         self.near.append(near)
-        self.masks.append(np.zeros(len(ids), np.uint32))
+        self.masks.append(mask)
+        # Those of the same document lie in different neighbourhoods and stay.
+        on = np.sort(order[ids[order] == ids[order][lead]])
+        begin = _spans(start[on], count[on])
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, WIDTH)[begin]).view(f"S{WIDTH}").ravel()
+        piece = np.repeat(on, count[on])
+        bit = most[piece] - (begin - start[piece])
         batch = Level(strings, ids[piece], piece + self.pieces, bit.astype(np.uint8))
         self.pieces += len(ids)
         batch = self._least(batch.take(np.argsort(batch.text, kind="stable")))
@@ -439,14 +459,15 @@ def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _told(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     buckets, groups = counts(docs.sparkSession)
     shared = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _shared(groups)), free=True)
-    pieces = _pieces(buckets, groups)
+    send = _pieces(buckets, groups)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in over_groups(batches, _known, pieces):
+        for found in over_groups(batches, _known, send):
             if found:
                 yield rows(ASKED, found)
 
-    return cut(settle(meet(docs, doc_id, text, shared, groups).mapInArrow(sent, ASKED), _compared(groups)), free=True), groups
+    pieces = meet(docs, doc_id, text, shared, groups).mapInArrow(sent, ASKED)
+    return cut(settle(pieces, _compared(groups)), free=True), groups
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
