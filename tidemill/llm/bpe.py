@@ -5,7 +5,9 @@ to the left unseen input can reach is a property of the merge list alone: a
 merge (u, v) can hand the influence from the boundary right of u to the one
 left of it, and a later merge (u', v') can hand it on only if v' starts with
 u. The longest such chain bounds the lookahead in bytes, so a run of any
-length is encoded in a window of fixed size. Decoding feeds token bytes to an
+length is encoded in a window of fixed size. A text is read in pieces that end
+where no continuation can join what lies on either side, and the ids of a piece
+are handed on before the next is read. Decoding feeds token bytes to an
 incremental UTF-8 state machine.
 """
 
@@ -27,8 +29,9 @@ from tidemill.llm.frames import add_columns
 
 # The byte-level pre-tokenizer's published pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 600_000  # of at most MEMO_LENGTH characters each
 MEMO_LENGTH = 48
+PIECE = 1 << 16  # characters that are read at a time, and ids that are handed on
 _BITS = 24
 _LOW = (1 << _BITS) - 1
 _NONE = 1 << 60
@@ -92,6 +95,7 @@ class Transducer:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.pattern = regex.compile(PATTERN)
         self.unsplit = regex.compile(r"\s ")
+        self.seam = regex.compile(r"(?<=\S) (?=\S)")  # a space that begins a pre-token, whatever surrounds it
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in specials.items()}
         self.memo = _Memo(lambda segment: self._segment(" " + segment))
         if array("I").itemsize != 4 or array("I", [1]).tobytes() != b"\x01\0\0\0":
@@ -192,33 +196,54 @@ class Transducer:
         for m in self.pattern.finditer(text):
             yield m[0]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian uint32; null encodes as the empty text."""
-        if not text:
-            return b""
-        if self.special_pattern is None or not self.special_pattern.search(text):
-            return self._ordinary(text)
-        out, at = [], 0
-        for m in self.special_pattern.finditer(text):
-            if m.start() > at:
-                out.append(self._ordinary(text[at : m.start()]))
-            out.append(array("I", [self.specials[m[0]]]).tobytes())
+    def _parts(self, text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+        """Begin and end of consecutive parts of text[at:end] whose ids do not depend on each other."""
+        while end - at > PIECE and (m := self.seam.search(text, at + PIECE, end)):
+            yield at, m.start()
+            at = m.start()
+        yield at, end
+
+    def _settled_ids(self, text: str) -> Iterator[bytes]:
+        """Ids of a part; of one much longer than a piece token by token, as they become stable."""
+        if len(text) <= 4 * PIECE:
+            yield self._ordinary(text)
+            return
+        out = array("I")
+        for piece in self._pieces(text):
+            data = piece.encode()
+            for token in self._short(data) if len(data) <= 40 else self.stream(data):
+                out.append(token)
+                if len(out) >= PIECE:
+                    yield out.tobytes()
+                    out = array("I")
+        yield out.tobytes()
+
+    def encode_stream(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian uint32, a piece at a time; null encodes as the empty text."""
+        text, at = text or "", 0
+        for m in self.special_pattern.finditer(text) if self.special_pattern else ():
+            for a, b in self._parts(text, at, m.start()):
+                yield from self._settled_ids(text[a:b])
+            yield array("I", [self.specials[m[0]]]).tobytes()
             at = m.end()
-        if at < len(text):
-            out.append(self._ordinary(text[at:]))
-        return b"".join(out)
+        for a, b in self._parts(text, at, len(text)):
+            yield from self._settled_ids(text[a:b])
 
-    def decode_stream(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
-        """Text of the ids piece by piece; bytes that are no UTF-8 become U+FFFD once they are known to be none."""
+    def encode(self, text: str | None) -> bytes:
+        """All ids at once."""
+        return b"".join(self.encode_stream(text))
+
+    def decode_stream(self, pieces: Iterable[bytes]) -> Iterator[str]:
+        """Text of pieces of ids; bytes that are no UTF-8 become U+FFFD once they are known to be none."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        numbers = array("I")
-        numbers.frombytes(ids)
-        for i in range(0, len(numbers), step):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[i : i + step])))
+        for piece in pieces:
+            numbers = array("I")
+            numbers.frombytes(piece)
+            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers)))
         yield machine.decode(b"", True)
 
     def decode(self, ids: bytes) -> str:
-        return "".join(self.decode_stream(ids))
+        return "".join(self.decode_stream(ids[i : i + 4 * PIECE] for i in range(0, len(ids), 4 * PIECE)))
 
 
 _loaded: dict[str, Transducer] = {}
@@ -269,24 +294,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
     return add_columns(df, ids, [T.StructField("text", T.StringType())], make, list(keep))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns, ``n_tokens``, ``ids`` and ``decoded`` text in one pass over the rows."""
-
-    def make():
-        t = transducer(_vocabulary(path))
-
-        def run(texts):
-            ids = [t.encode(x) for x in texts]
-            return pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([t.decode(i) for i in ids], pa.string())
-
-        return run
-
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
-    return add_columns(df, text, fields, make, list(keep))
-
-
 def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``round_trip`` with SHA-256 digests in place of ids and decoded text, so neither leaves the task."""
+    """Kept columns, ``n_tokens`` and SHA-256 digests of the ids and of the text decoded from them.
+
+    Ids are decoded and digested as they are emitted, so neither they nor the
+    decoded text are held. Null texts count as empty ones; repeated rows give
+    repeated rows; an empty table gives none.
+    """
 
     def make():
         t = transducer(_vocabulary(path))
@@ -294,13 +308,20 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         def run(texts):
             n, a, b = [], [], []
             for x in texts:
-                ids = t.encode(x)
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                h = hashlib.sha256()
-                for piece in t.decode_stream(ids):
-                    h.update(piece.encode())
-                b.append(h.hexdigest())
+                of_ids, of_text, size = hashlib.sha256(), hashlib.sha256(), 0
+
+                def emitted():
+                    nonlocal size
+                    for piece in t.encode_stream(x):
+                        of_ids.update(piece)
+                        size += len(piece) // 4
+                        yield piece
+
+                for piece in t.decode_stream(emitted()):
+                    of_text.update(piece.encode())
+                n.append(size)
+                a.append(of_ids.hexdigest())
+                b.append(of_text.hexdigest())
             return pa.array(n, pa.int64()), pa.array(a), pa.array(b)
 
         return run
