@@ -10,7 +10,6 @@ credentials and secrets behind a cue are added. Spans are in code points, end ex
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _iban = re.compile(r"[^0-9A-Za-z]{0,8}([A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]){11,30})(?![0-9A-Za-z])")
 _social = re.compile(r"[^0-9A-Za-z]{0,8}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _secret = re.compile(r"[\x20\t]{0,2}[=:][\x20\t]{0,2}[\"']?([A-Za-z0-9_+/-]{16,})")
-_login = re.compile(r"://([^\s/@:?#]{1,256}:[^\s/@?#]{1,256})@")
+_login = re.compile(r"://([^\s/@:?#]+:[^\s/@?#]+)@")
 
 
 def luhn(digits: str) -> bool:
@@ -185,6 +184,3 @@ def mask(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
 
     return add_columns(df, text, [T.StructField(text, T.StringType())], make, list(keep))
 
-
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()
