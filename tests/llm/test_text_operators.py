@@ -75,6 +75,11 @@ def test_bpe_streams_long_runs_in_windows(library):
     rng = np.random.default_rng(3)
     for text in ("the" * 4000, "".join(rng.choice(list("etaoins"), 9000))):
         assert list(t.stream(text.encode())) == library.encode(text, add_special_tokens=False).ids
+    long = "word and\n\n more " * 30_000 + "z" * 300_000 + " end<|endoftext|>" + "é's " * 40_000 + " " * 70_000 + "x" + "!?'" * 120_000
+    pieces = list(t.encode_stream(long))
+    assert len(pieces) > 10 and max(map(len, pieces)) <= 16 * bpe.PIECE
+    assert b"".join(pieces) == array.array("I", library.encode(long, add_special_tokens=False).ids).tobytes()
+    assert "".join(t.decode_stream(pieces)) == long
     assert bpe.sufficient_lookahead([(b"a", b"b"), (b"c", b"ab"), (b"d", b"a")]) == 2
 
 
@@ -424,10 +429,44 @@ def test_fingerprints_follow_edits(spark):
         edited = t[: len(t) - half] + after[:half]
         want[i, len(t), sha(edited), fingerprints.digest_bits(t).hex(), fingerprints.digest_bits(edited).hex()] += 1
     assert got == want and fingerprints.fingerprints(empty(spark)).isEmpty()
+    near = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprints(docs(spark)).collect()}
+    for r in near.values():  # likeness is the share of equal bits beyond the half that chance gives
+        same = 256 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1")
+        assert r.near_edited == pytest.approx(max(0, same / 128 - 1)) and 0 <= r.near_next <= 1
     alone = fingerprints.fingerprints(docs(spark, [(1, "only row")])).first()
     assert alone.near_next == 1.0
 
 
+def test_fingerprint_is_a_plain_walk():
+    """Bit by bit: at every step write the character, then move on if the shared bit says so."""
+    w = fingerprints.Walker()
+    moves = np.random.default_rng(7301).integers(0, 2, (256, fingerprints.PERIOD), dtype=np.int64)
+    moves[:, -1] = 1
+    for text in ("a plain text of some words", "", "é", "ab" * 700):
+        classes = w.classes(text).tolist()
+        length, written, i = max(1, 2 * len(classes)), [], 0
+        for j in range(length):
+            written.append(classes[i] if i < len(classes) else 256)
+            i += int(i < len(classes) and moves[classes[i], j % fingerprints.PERIOD])
+        bits = []
+        for b in range(fingerprints.BITS):
+            place = max(int(p) for p in w.places[b] if p < length)
+            bits.append(int(w.coins[b, written[place]]))
+        assert np.packbits(bits).tobytes() == fingerprints.digest_bits(text)
+
+
+def test_many_ranges_of_ids(spark):
+    rows = [(i * i, f"text {i}") for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprints(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % 300][1]
+        assert got[i] == sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+
+
 def test_near_fingerprints_are_classes(spark):
     rng = np.random.default_rng(2)
     base = prose(rng, 400)
@@ -435,6 +474,9 @@ def test_near_fingerprints_are_classes(spark):
     prints = fingerprints.fingerprints(docs(spark, rows)).select("doc_id", "fingerprint")
     cls = {r.doc_id: r.class_id for r in fingerprints.near_classes(prints, near=0.7).collect()}
     assert cls[1] == cls[2] == cls[3] != cls[4] and len(cls) == 5
+    clash = prints.selectExpr("doc_id", "fingerprint", "1 AS node", "2 AS band", "'x' AS class_id")
+    assert {r.doc_id: r.class_id for r in fingerprints.near_classes(clash, near=0.7).collect()} == cls
+    assert fingerprints.near_classes(prints.where("false")).isEmpty()
 
 
 def test_near_classes_find_every_pair_of_large_buckets(spark, monkeypatch):
@@ -482,6 +524,8 @@ def test_anchors_find_what_the_patterns_find(text):
 def test_pii_adds_accounts_and_masks(spark):
     text = "IBAN: GB82 WEST 1234 5698 7654 32, SSN 078-05-1120, ftp://me:secret1@host/ token = \"04dbebab91ab85687d33\" a@b.co iban XX00 1111"
     kinds = Counter(k for k, *_ in pii.Scanner().spans(text))
+    long = "x://" + "u" * 3000 + ":" + "p" * 5000 + "@host"
+    assert ("credential", 4, 4 + 8001) in pii.Scanner().spans(long)
     assert kinds["account"] == 2 and kinds["credential"] == kinds["secret"] == 1 and kinds["email"] >= 1
     masked = pii.mask(docs(spark, [*AWKWARD, (99, text)]), keep=("doc_id", "score", "text"))
     out = {r.doc_id: r.text for r in masked.collect()}

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from tidemill.llm.components import connected_components
-from tidemill.llm.frames import partitions
+from tidemill.llm.exchange import per_group
+from tidemill.llm.frames import cut, partitions
 
 BITS = 256
 PERIOD = 4096  # of the shared random bits, in steps
@@ -103,8 +103,13 @@ def _with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.1 / count)}) if count > 1 else []
     bucket = F.lit(0)
     if cuts:
-        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
+        # The cuts passed are counted in two steps: first whole stretches of them, then those of one stretch.
+        width = max(1, int(len(cuts) ** 0.5))
+        stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+        passed = lambda edges: F.size(F.filter(edges, lambda c: c <= F.col("doc_id")))
+        longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values])
+        whole = F.greatest(passed(longs([s[0] for s in stretches])), F.lit(1))
+        bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise((whole - 1) * width + passed(F.element_at(F.array(*map(longs, stretches)), whole)))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     # Null ids come last, so a bucket's first row has a null id only if all have.
     firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()}
@@ -118,7 +123,7 @@ def _with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lead = F.struct(F.element_at(leads, F.col("bucket")).alias("bucket"), F.lit(1).alias("tail"))
     twice = rows.select(F.explode(F.when(is_first, F.array(own, lead)).otherwise(F.array(own))).alias("to"), "doc_id", "text")
     placed = twice.select("to.bucket", "to.tail", "doc_id", "text")
-    return placed.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_last("doc_id"), "text")
+    return placed.repartitionById(count, F.col("bucket")).sortWithinPartitions("bucket", "tail", F.asc_nulls_last("doc_id"), "text")
 
 
 NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -174,17 +179,18 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pick = np.random.default_rng(7304)
     samples = [np.sort(pick.choice(BITS, BAND_BITS, replace=False)) for _ in range(BANDS)]
     weights = (1 << np.arange(BAND_BITS, dtype=np.int64))[None, :]
-    for b in batches:
-        prints = b.column("fingerprint").to_pylist()
-        bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1), axis=1).astype(np.int64)
-        keys = np.array([(bits[:, s] * weights).sum(1) + (i << BAND_BITS) for i, s in enumerate(samples)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(prints, object), BANDS)), pa.array(keys.T.ravel())], names=["fingerprint", "band"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            b = whole.slice(at, 4096)
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(b.column("fingerprint").to_pylist())), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.int64)
+            keys = np.array([(bits[:, s] * weights).sum(1) + (i << BAND_BITS) for i, s in enumerate(samples)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), BANDS)), pa.array(keys.T.ravel())], names=["node", "band"])
 
 
 def _forests(near: float):
     """Spanning forests (a, b) of the near pairs of each block, rows sorted by (band, i, j)."""
 
-    def forest(prints: list[str]) -> list[tuple[str, str]]:
+    def forest(nodes: list[int], prints: list[str]) -> list[tuple[int, int]]:
         words = np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(len(prints), -1)
         left = np.ones(len(prints), bool)
         out = []
@@ -197,22 +203,14 @@ def _forests(near: float):
                 differ = np.bitwise_count(words[rest] ^ words[k]).sum(1, dtype=np.int64)
                 found = rest[1.0 - 2.0 * differ / BITS >= near].tolist()
                 left[found] = False
-                out += [(prints[k], prints[x]) for x in found]
+                out += [(nodes[k], nodes[x]) for x in found]
                 queue += found
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for b in batches:
-            found = []
-            for band, i, j, fingerprint in zip(*(b.column(n).to_pylist() for n in ("band", "i", "j", "fingerprint"))):
-                if (band, i, j) != current:
-                    found += forest(held) if held else []
-                    current, held = (band, i, j), []
-                held.append(fingerprint)
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
-        found = forest(held) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+        rows = per_group(batches, "block", lambda _, it: [forest(*map(list, zip(*it)))], ("node", "fingerprint"))
+        for found in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -222,18 +220,22 @@ def near_classes(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "
 
     Equal fingerprints are one candidate. All pairs of a band's bucket are
     compared on all bits, in blocks of bounded size; a bucket of m takes about
-    (m / BLOCK)^2 / 2 of them. Rows without a fingerprint are left out.
+    (m / BLOCK)^2 / 2 of them. Rows without a fingerprint are left out; an empty
+    table has no classes.
     """
     rows = prints.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{fingerprint}`").alias("fingerprint")).where("fingerprint IS NOT NULL")
-    banded = rows.select("fingerprint").distinct().mapInArrow(_bands, "fingerprint string, band long")
+    known = cut(rows.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()))
+    banded = cut(known.mapInArrow(_bands, "node long, band long"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    placed = banded.join(sizes, "band").select("band", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("fingerprint"), blocks).cast("int").alias("side"))
+    placed = banded.join(sizes, "band").select("band", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fingerprint")
-    dealt = placed.repartition(partitions(prints.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "fingerprint")
-    parts = connected_components(dealt.mapInArrow(_forests(near), "a string, b string"))
-    return rows.join(parts, rows["fingerprint"] == parts["node"], "left").select("doc_id", F.coalesce("component", "fingerprint").alias("class_id"))
+    placed = placed.select(F.struct("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("block"), "node").join(known, "node")
+    dealt = placed.repartition(partitions(prints.sparkSession), "block").sortWithinPartitions("block", "node")
+    parts = connected_components(dealt.mapInArrow(_forests(near), "a long, b long"))
+    tied = known.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = tied.groupBy("component").agg(F.min("fingerprint").alias("class_id"))
+    return rows.join(tied.join(least, "component").select("fingerprint", "class_id"), "fingerprint").select("doc_id", "class_id")
 
 
 def digest_bits(text: str) -> bytes:

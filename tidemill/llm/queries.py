@@ -41,6 +41,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The banding and verification of ``op5_fingerprints``: each document's class of near fingerprints."""
+    return fingerprints.near_classes(op5_fingerprints(spark, sf_dir))
+
+
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_urls": op10_urls,
+    "fingerprint_classes": fingerprint_classes,
 }
 
 SQL: dict[str, str] = {"op6_debruijn": oracles.DEBRUIJN, "op9_minhash": oracles.MINHASH, "op10_urls": oracles.urls_sql(URL_RULES)}
