@@ -44,6 +44,35 @@ def test_payload_flags_read_true_and_text_alike(spark):
     assert [r[0] for r in df.select(P.valid(F.col("p"))).collect()] == [True, True, True, False]
 
 
+def test_idle_ticks_write_nothing(spark, tmp_path):
+    from tidemill.app import App, Config
+
+    app = App(LedgerStore(spark, f"file://{tmp_path}/l"), Config(folding=True))
+    app.queue("mail", lambda mail: None)
+    app.job(pipeline.Job("doc").step("one", lambda d: None))
+    app.enqueue("mail", spark.createDataFrame([("{}",)], "payload string"), NOW)
+    assert app.tick(NOW) == 1
+    have = app.store.versions()
+    for minutes in (1, 2, 3):
+        assert app.tick(NOW + timedelta(minutes=minutes)) == 0
+    assert app.store.versions() == have
+    before = app.store._read(have[-1])["tables"]
+    app.enqueue("mail", spark.createDataFrame([("{}",)], "payload string"), NOW)
+    after = app.store._read(app.store.versions()[-1])["tables"]
+    assert {t for t in after if after[t] != before[t]} == {"items"}
+
+
+def test_numbering_gathers_no_rows_in_one_task(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("ord"), F.col("id").alias("pos"))
+    out = numbered(df, 5, "ord", "pos")
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    rows = out.orderBy("id").toPandas()
+    assert rows["id"].tolist() == list(range(5, 20_005)) and rows["ord"].is_monotonic_increasing
+    g, made = X.enqueue(new_ledger(spark), df.withColumn("queue", F.lit("q")), NOW)
+    assert "SinglePartition" not in g.items._jdf.queryExecution().toString() and g.next_item == 20_001
+    assert numbered(df.limit(0), 1).isEmpty()
+
+
 def test_numbers_follow_the_order_over_buckets(spark):
     df = spark.range(0, 200_001, 7).select((F.lit(200_001) - F.col("id")).alias("ord"))
     out = numbered(df, 10).orderBy("ord").select("id").toPandas()["id"].tolist()

@@ -80,7 +80,8 @@ def _swept(gone: DataFrame) -> Swept:
 def sweep(ledger: Ledger, options: SweepOptions, now: datetime) -> tuple[Ledger, Swept]:
     """Deletes what is due, attempts with it."""
     gone = checkpoint(due(ledger, options, now))
-    return _without(ledger, gone), _swept(gone)
+    told = _swept(gone)
+    return (_without(ledger, gone) if told.count else ledger), told
 
 
 def history_from(now: datetime, keep: timedelta = HISTORY):
@@ -90,7 +91,9 @@ def history_from(now: datetime, keep: timedelta = HISTORY):
 def prepare(ledger: Ledger, now: datetime, keep: timedelta = HISTORY, window: timedelta = DONE_WINDOW) -> Ledger:
     """Drops history days that are past keeping, a day after they stop being written, and tallies that no reader counts."""
     first = F.date_sub(history_from(now, keep).cast("date"), 1)
-    return ledger.having(item_history=ledger.item_history.where(F.col("day") >= first), done_hourly=ledger.done_hourly.where(F.col("hour") >= done_since(now, window)))
+    live = {"item_history": F.col("day") >= first, "done_hourly": F.col("hour") >= done_since(now, window)}
+    changed = {t: ledger.frames[t].where(c) for t, c in live.items() if not ledger.frames[t].where(~c).isEmpty()}
+    return ledger.having(**changed) if changed else ledger
 
 
 def history_days(now: datetime, keep: timedelta = HISTORY) -> list:
@@ -130,7 +133,8 @@ def folded_hours(ledger: Ledger, gone: DataFrame) -> DataFrame:
 def folded_history(ledger: Ledger, gone: DataFrame, since) -> DataFrame:
     """History rows of items finished at ``since`` or later, with their attempts in order."""
     kept = gone.where(F.col("finalized_at") >= since)
-    tries = ledger.attempts.groupBy(F.col("item_pk").alias("id")).agg(
+    mine = ledger.attempts.join(kept.select(F.col("id").alias("item_pk")), "item_pk", "left_semi")
+    tries = mine.groupBy(F.col("item_pk").alias("id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("id", "attempt", "worker", "started_at", "ended_at", "outcome", "error"))), lambda a: a.dropFields("id")).alias("attempts")
     )
     none = F.array().cast(dict(ledger.item_history.dtypes)["attempts"])
@@ -143,11 +147,14 @@ def folded_history(ledger: Ledger, gone: DataFrame, since) -> DataFrame:
 def fold(ledger: Ledger, options: SweepOptions, now: datetime) -> tuple[Ledger, Swept]:
     """Deletes what is due and saves its counts, hourly tally and history in the same change."""
     gone = checkpoint(due(ledger, options, now))
+    told = _swept(gone)
+    if not told.count:
+        return ledger, told
     history = folded_history(ledger, gone, history_from(now, options.history))
     after = _without(ledger, gone).having(
         step_counts=folded_counts(ledger, gone, options.labels), done_hourly=folded_hours(ledger, gone), item_history=ledger.item_history.unionByName(history)
     )
-    return after, _swept(gone)
+    return after, told
 
 
 class Breaker:

@@ -36,13 +36,15 @@ def _set(items: DataFrame, hit: DataFrame, on: Column, **values: Column) -> Data
 
 def ensure_queues(ledger: Ledger, names: DataFrame, now) -> Ledger:
     """Adds the queues (column ``name``) that the ledger does not know."""
-    fresh = names.where("name IS NOT NULL").select("name").distinct().join(ledger.queues, "name", "left_anti")
+    fresh = checkpoint(names.where("name IS NOT NULL").select("name").distinct().join(ledger.queues, "name", "left_anti"))
+    if fresh.isEmpty():
+        return ledger
     fresh = fresh.select("name", F.lit(None).cast("timestamp_ntz").alias("paused_at"), at(now).alias("created_at"), at(now).alias("updated_at"))
     return ledger.having(queues=ledger.queues.unionByName(fresh))
 
 
-def enqueue(ledger: Ledger, new_items: DataFrame, now) -> tuple[Ledger, DataFrame]:
-    """Adds items (columns of NEW_ITEM, missing ones as null) in the order of ``ord``; returns their rows."""
+def enqueue(ledger: Ledger, new_items: DataFrame, now, *order: str) -> tuple[Ledger, DataFrame]:
+    """Adds items (columns of NEW_ITEM, missing ones as null) in the order of ``ord``, or of other columns; returns their rows."""
     for f in ("payload", "execution_id", "step_id", "item_id", "parent_item_id"):
         if f not in new_items.columns:
             new_items = new_items.withColumn(f, F.lit(None).cast("string"))
@@ -50,10 +52,11 @@ def enqueue(ledger: Ledger, new_items: DataFrame, now) -> tuple[Ledger, DataFram
         new_items = new_items.withColumn("available_at", F.lit(None).cast("timestamp_ntz"))
     if "policy" not in new_items.columns:
         new_items = new_items.withColumn("policy", R.DEFAULT.column())
-    n = new_items.count()
     policy = F.coalesce("policy", R.DEFAULT.column())
     allowed = R.attempts_allowed(policy["max_attempts"])
-    made = numbered(new_items, ledger.next_item).select(
+    placed = numbered(new_items, ledger.next_item, *order)
+    n = placed.count()
+    made = placed.select(
         "id", "queue", P.or_empty(F.col("payload")).alias("payload"), F.lit("ready").alias("state"), F.lit(None).cast("string").alias("outcome"),
         F.lit(0).alias("attempt"), allowed.cast("int").alias("max_attempts"), F.coalesce("available_at", at(now)).alias("available_at"),
         F.lit(None).cast("string").alias("leased_by"), F.lit(None).cast("timestamp_ntz").alias("lease_until"),
@@ -63,6 +66,8 @@ def enqueue(ledger: Ledger, new_items: DataFrame, now) -> tuple[Ledger, DataFram
         policy.withField("max_attempts", allowed.cast("int")).alias("policy"), at(now).alias("created_at"), at(now).alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("finalized_at"),
     )
+    if not n:
+        return ledger, made
     ledger = ensure_queues(ledger, made.select(F.col("queue").alias("name")), now)
     return ledger.having(items=ledger.items.unionByName(made), next_item=ledger.next_item + n), made
 
@@ -86,15 +91,17 @@ def claim(ledger: Ledger, now: datetime, worker: str, limit: int, queue: str | N
         rank = F.row_number().over(Window.partitionBy("queue").orderBy("available_at", "id"))
         picked = ready.withColumn("__rank", rank).where(F.col("__rank") <= limit)
     # Both the items and the attempts need the same pick, and its size.
-    picked = checkpoint(picked.select("id", F.lit(True).alias("__hit")))
+    picked = checkpoint(picked.select("id", F.lit(True).alias("__hit"), (F.col("attempt") + 1).alias("__attempt")))
     n = picked.count()
+    if not n:
+        return ledger, ledger.items.limit(0)
     hit = F.col("__hit").isNotNull()
     items = _set(
         ledger.items, picked, hit, state=F.lit("running"), attempt=F.col("attempt") + 1, leased_by=F.lit(worker), last_worker=F.lit(worker),
         lease_until=at(now) + F.expr(f"make_dt_interval(0, 0, 0, {lease.total_seconds():.6f})"), updated_at=at(now),
     )
     taken = items.join(picked.select("id"), "id", "left_semi")
-    opened = numbered(taken.select(F.col("id").alias("item_pk"), "attempt"), ledger.next_attempt, "item_pk").select(
+    opened = numbered(picked.select(F.col("id").alias("item_pk"), F.col("__attempt").alias("attempt")), ledger.next_attempt, "item_pk").select(
         "id", "item_pk", "attempt", F.lit(worker).alias("worker"), at(now).alias("started_at"),
         F.lit(None).cast("timestamp_ntz").alias("ended_at"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("error"),
     )
@@ -143,10 +150,8 @@ PRODUCED = "array<struct<queue:string,payload:string,available_at:timestamp_ntz,
 
 
 def _outputs(won: DataFrame) -> DataFrame:
-    """New items of requests, in request order and then list order."""
-    each = won.select("ord", F.posexplode("produced").alias("pos", "new"))
-    # Room for a million outputs keeps one request's apart from the next one's.
-    return each.select((F.col("ord") * F.lit(1 << 20) + F.col("pos")).alias("ord"), "new.*")
+    """New items of requests, to be numbered by request (``ord``) and then place in its list (``pos``)."""
+    return won.select("ord", F.posexplode("produced").alias("pos", "new")).select("ord", "pos", "new.*")
 
 
 def complete(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFrame]:
@@ -154,6 +159,8 @@ def complete(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFram
     requests = _with(requests, worker="string", produced=PRODUCED, filtered="boolean", dropped="int", capped="boolean")
     requests = requests.withColumn("produced", F.coalesce(F.col("produced").cast(PRODUCED), F.array().cast(PRODUCED)))
     won = checkpoint(_guarded(ledger, requests))
+    if won.isEmpty():
+        return ledger, results(ledger, requests, won)
     made = F.size("__produced")
     hits = won.select("id", F.col("produced").alias("__produced"), F.coalesce("filtered", F.lit(False)).alias("__filtered"), F.coalesce("dropped", F.lit(0)).alias("__dropped"), F.coalesce("capped", F.lit(False)).alias("__capped"))
     total = F.col("produced") + made
@@ -164,7 +171,7 @@ def complete(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFram
     )
     ended = items.join(won.select("id"), "id", "left_semi").select("id", F.col("outcome").alias("__outcome"), F.lit(None).cast("string").alias("__error"))
     after = ledger.having(items=items, attempts=_closed(ledger, ended, now))
-    after, _ = enqueue(after, _outputs(won), now)
+    after, _ = enqueue(after, _outputs(won), now, "ord", "pos")
     return after, results(after, requests, won)
 
 
@@ -176,9 +183,11 @@ def emit(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFrame]:
     asked = requests.where(F.size("produced") > 0)
     fits = (F.col("worker") == F.col("__owner")) & ((F.coalesce("attempt", F.lit(0)) <= 0) | (F.col("attempt") == F.col("__attempt")))
     won = checkpoint(asked.join(live, "id").where(fits).drop("__owner", "__attempt"))
-    added = won.groupBy("id").agg(F.sum(F.size("produced")).alias("__more"))
-    items = _set(ledger.items, added, F.col("__more").isNotNull(), produced=(F.col("produced") + F.col("__more")).cast("int"), updated_at=at(now))
-    after, _ = enqueue(ledger.having(items=items), _outputs(won), now)
+    after = ledger
+    if not won.isEmpty():
+        added = won.groupBy("id").agg(F.sum(F.size("produced")).alias("__more"))
+        items = _set(ledger.items, added, F.col("__more").isNotNull(), produced=(F.col("produced") + F.col("__more")).cast("int"), updated_at=at(now))
+        after, _ = enqueue(ledger.having(items=items), _outputs(won), now, "ord", "pos")
     told = requests.select("ord", "id", (F.size("produced") == 0).alias("__idle")).join(won.select("ord", F.lit(True).alias("__won")), "ord", "left")
     fine = F.col("__idle") | F.col("__won").isNotNull()
     return after, told.select("ord", "id", F.when(~fine, F.lit(LEASE_LOST)).alias("error_kind"), F.when(~fine, F.format_string("lease lost: id %d", "id")).alias("error")).orderBy("ord")
@@ -188,6 +197,8 @@ def retry(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFrame]:
     """running -> ready after the policy's backoff, or at ``at``. Columns: ord, id, worker, error, at. Never dead-letters."""
     requests = _with(requests, worker="string", error="string", at="timestamp_ntz")
     won = checkpoint(_guarded(ledger, requests))
+    if won.isEmpty():
+        return ledger, results(ledger, requests, won)
     hits = won.select("id", F.lit(True).alias("__hit"), F.col("error").alias("__error"), F.col("at").alias("__at"))
     wait = R.jittered(R.backoff(F.col("attempt"), F.col("policy.schedule_ns")), F.col("policy.jitter"), R.spread(F.col("id"), F.col("attempt")))
     items = _set(
@@ -215,6 +226,8 @@ def dead_letter(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataF
     """running -> dlq in the queue's dead-letter queue. Columns: ord, id, worker, error."""
     requests = _with(requests, worker="string", error="string")
     won = checkpoint(_guarded(ledger, requests))
+    if won.isEmpty():
+        return ledger, results(ledger, requests, won)
     after = _buried(ledger, won.select("id", F.col("error").alias("__error")), now)
     return after, results(after, requests, won)
 
@@ -223,6 +236,8 @@ def release(ledger: Ledger, requests: DataFrame, now) -> tuple[Ledger, DataFrame
     """running -> ready at once, with the attempt given back and its open row dropped. Columns: ord, id, worker."""
     requests = _with(requests, worker="string")
     won = checkpoint(_guarded(ledger, requests))
+    if won.isEmpty():
+        return ledger, results(ledger, requests, won)
     items = _set(
         ledger.items, won.select("id", F.lit(True).alias("__hit")), F.col("__hit").isNotNull(), state=F.lit("ready"), attempt=F.greatest(F.col("attempt") - 1, F.lit(0)),
         available_at=at(now), leased_by=F.lit(None).cast("string"), lease_until=F.lit(None).cast("timestamp_ntz"), updated_at=at(now),
@@ -236,6 +251,8 @@ def extend_lease(ledger: Ledger, requests: DataFrame, until: datetime, now) -> t
     """Leases of owned running items last until ``until``; every request for an item succeeds. Columns: ord, id, worker."""
     requests = _with(requests, worker="string")
     won = checkpoint(_guarded(ledger, requests, every=True))
+    if won.isEmpty():
+        return ledger, results(ledger, requests, won)
     items = _set(ledger.items, won.select("id", F.lit(True).alias("__hit")).distinct(), F.col("__hit").isNotNull(), lease_until=at(until), updated_at=at(now))
     after = ledger.having(items=items)
     return after, results(after, requests, won)
@@ -250,6 +267,9 @@ def expired(ledger: Ledger, now, limit: int = DEFAULT_BATCH) -> DataFrame:
 def reclaim_expired(ledger: Ledger, now, limit: int = DEFAULT_BATCH) -> tuple[Ledger, DataFrame]:
     """Items of lapsed leases go back to ready, or to the dead letters after their last attempt; returns (reclaimed, dead_lettered)."""
     late = checkpoint(expired(ledger, now, limit))
+    told = late.agg(F.count_if(~F.col("dead")).alias("reclaimed"), F.count_if("dead").alias("dead_lettered"))
+    if late.isEmpty():
+        return ledger, told
     back = late.where(~F.col("dead")).select("id", F.lit(True).alias("__hit"))
     items = _set(
         ledger.items, back, F.col("__hit").isNotNull(), state=F.lit("ready"), available_at=at(now), updated_at=at(now), last_error=F.lit(LAPSED),
@@ -258,38 +278,33 @@ def reclaim_expired(ledger: Ledger, now, limit: int = DEFAULT_BATCH) -> tuple[Le
     ended = back.select("id", F.lit("reclaimed").alias("__outcome"), F.lit(LAPSED).alias("__error"))
     after = ledger.having(items=items, attempts=_closed(ledger, ended, now))
     after = _buried(after, late.where("dead").select("id", F.lit(LAPSED).alias("__error")), now)
-    return after, late.agg(F.count_if(~F.col("dead")).alias("reclaimed"), F.count_if("dead").alias("dead_lettered"))
+    return after, told
 
 
-def replay(ledger: Ledger, queue: str, now, error_contains: str | None = None, limit: int = DEFAULT_BATCH) -> tuple[Ledger, int]:
-    """Dead letters of a queue go back to work with a fresh budget, by id; ``%`` and ``_`` in the error text are wildcards."""
-    if not queue:
-        return ledger, 0
+def _replayed(ledger: Ledger, queue: str, now, error_contains: str | None, limit: int | None) -> tuple[Ledger, int]:
     dead = ledger.items.where((F.col("queue") == queue) & (F.col("state") == "dlq"))
     if error_contains:
         dead = dead.where(F.ilike("last_error", F.lit(f"%{error_contains}%")))
-    picked = checkpoint(dead.orderBy("id").limit(limit if limit > 0 else DEFAULT_BATCH).select("id", F.lit(True).alias("__hit")))
+    picked = checkpoint((dead if limit is None else dead.orderBy("id").limit(limit)).select("id", F.lit(True).alias("__hit")))
     n = picked.count()
-    items = _set(
-        ledger.items, picked, F.col("__hit").isNotNull(), queue=base_of(F.col("queue")), state=F.lit("ready"), outcome=F.lit(None).cast("string"), attempt=F.lit(0),
-        available_at=at(now), updated_at=at(now), finalized_at=F.lit(None).cast("timestamp_ntz"), leased_by=F.lit(None).cast("string"), lease_until=F.lit(None).cast("timestamp_ntz"),
-    )
+    if n:
+        items = _set(
+            ledger.items, picked, F.col("__hit").isNotNull(), queue=base_of(F.col("queue")), state=F.lit("ready"), outcome=F.lit(None).cast("string"), attempt=F.lit(0),
+            available_at=at(now), updated_at=at(now), finalized_at=F.lit(None).cast("timestamp_ntz"), leased_by=F.lit(None).cast("string"), lease_until=F.lit(None).cast("timestamp_ntz"),
+        )
+        ledger = ledger.having(items=items)
     target = ledger.spark.createDataFrame([(queue,)], "name string").select(base_of(F.col("name")).alias("name"))
-    return ensure_queues(ledger.having(items=items), target, now), n
+    return ensure_queues(ledger, target, now), n
+
+
+def replay(ledger: Ledger, queue: str, now, error_contains: str | None = None, limit: int = DEFAULT_BATCH) -> tuple[Ledger, int]:
+    """Dead letters of a queue go back to work with a fresh budget, by id; ``%`` and ``_`` in the error text are wildcards."""
+    return _replayed(ledger, queue, now, error_contains, limit if limit > 0 else DEFAULT_BATCH) if queue else (ledger, 0)
 
 
 def drain(ledger: Ledger, queue: str, now, error_contains: str | None = None, most: int = 0) -> tuple[Ledger, int]:
-    """Replays batches until none move or ``most`` have."""
-    moved = 0
-    while True:
-        batch = min(DEFAULT_BATCH, most - moved) if most > 0 else DEFAULT_BATCH
-        if batch <= 0:
-            return ledger, moved
-        ledger, n = replay(ledger, queue, now, error_contains, batch)
-        moved += n
-        if not n:
-            return ledger, moved
-        ledger = ledger.settled()
+    """Replays all dead letters of a queue, or ``most`` of them, in one change."""
+    return _replayed(ledger, queue, now, error_contains, most if most > 0 else None) if queue else (ledger, 0)
 
 
 def _pause_set(ledger: Ledger, queue: str, paused: bool, now) -> Ledger:

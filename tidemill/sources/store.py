@@ -70,10 +70,12 @@ class LedgerStore:
             raise ValueError(f"the ledger has schema {m['schema']}, this library {SCHEMA_VERSION}; migrate it first")
         fresh = new_ledger(self.spark)
         frames = {t: self.spark.read.schema(TABLES[t]).parquet(f"{self.root}/{at}/{t}") if at else fresh.frames[t] for t, at in m["tables"].items()}
-        return Ledger(frames, m["next_item"], m["next_attempt"]), version
+        return Ledger(frames, m["next_item"], m["next_attempt"], frames), version
 
     def commit(self, base: Ledger, version: int, new: Ledger, before_rename: Callable[[], None] | None = None) -> int:
-        """Writes what ``new`` changed in ``base`` (of ``version``) as the next version."""
+        """Writes what ``new`` changed in ``base`` (of ``version``) as the next version; without a change ``version`` stays."""
+        if all(f is base.frames[t] for t, f in new.frames.items()) and (new.next_item, new.next_attempt) == (base.next_item, base.next_attempt):
+            return version
         if self.versions()[-1:] > [version]:
             raise Conflict(f"version {version} is not the latest")
         at = f"v={version + 1}-{uuid.uuid4().hex[:8]}"
