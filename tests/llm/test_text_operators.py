@@ -210,7 +210,7 @@ def test_nonbranching_paths_of_a_graph(spark):
     rows = list(texts.items())
     assert by_row(debruijn.deduplicate(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
     groups = 1
-    told = debruijn.settle(debruijn.ask(docs(spark, rows), "doc_id", "text", debruijn._questions(3, groups)), debruijn._repeated(groups))
+    told = debruijn.settle(debruijn.ask(docs(spark, rows), "doc_id", "text", debruijn._questions(3, groups)), debruijn._repeated(3, groups))
     pieces = debruijn.cut(debruijn._as_blobs(debruijn.meet(docs(spark, rows), "doc_id", "text", told.where("kind = 1"), groups), *debruijn._pieces(groups)))
     held = [debruijn.Pieces(bytes(r.payload)) for r in pieces.collect()]
     edge = {int(e): (int(s), int(p)) for h in held for e, s, p in zip(h.edge, h.src, h.pos)}

@@ -33,7 +33,7 @@ from tidemill.llm.exchange import ANSWERED, ASKED, LAST, ask, by_key, counts, me
 from tidemill.llm.frames import cut, partitions
 
 WINDOW = 13
-SOURCE, MEMBER = 1, 2  # answers: edges that a document is the source of; repeated edges of a group
+SOURCE, MEMBER = 1, 2  # answers: edges that a document is the source of; repeated edges of a bucket and the groups that hold them
 HEAD, CHAIN, REQUEST, PIECE = 1, 2, 3, 4  # what the groups of sources get, in this order
 PATH, DENIED = 1, 2  # what the groups of documents get
 EDGES = 0
@@ -63,10 +63,12 @@ def _sent(groups: int, kind: int, ids: np.ndarray, *columns: np.ndarray) -> list
     return [(g, kind, pack(ids[at], *(c[at] for c in columns))) for g, at in by_key(np.mod(ids, groups), groups)]
 
 
-def _members(groups: int, ids: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(group, distinct edges) of documents."""
-    for g, at in by_key(np.mod(ids, groups), groups):
-        yield g, np.unique(edge[at]).tobytes()
+def _members(grp: np.ndarray, edge: np.ndarray) -> bytes:
+    """Distinct pairs of a group and an edge that its documents hold."""
+    order = np.lexsort((grp, edge))
+    grp, edge = grp[order], edge[order]
+    new = np.concatenate([[True], (edge[1:] != edge[:-1]) | (grp[1:] != grp[:-1])]) if len(edge) else np.empty(0, bool)
+    return pack(grp[new], edge[new])
 
 
 def _questions(buckets: int, groups: int):
@@ -84,7 +86,7 @@ def _questions(buckets: int, groups: int):
         later = owner > np.repeat(owner[start], end - start)
         out = []
         for b, at in by_key((edge[later] % np.uint64(buckets)).astype(np.int64), buckets):
-            out += [(b, -1 - g, p) for g, p in _members(groups, owner[later][at], edge[later][at])]
+            out.append((b, MEMBER, _members(np.mod(owner[later][at], groups), edge[later][at])))
         edge, owner = edge[start], owner[start]
         for b, at in by_key((edge % np.uint64(buckets)).astype(np.int64), buckets):
             out.append((b, EDGES, pack(owner[at], edge[at], twice[at])))
@@ -93,12 +95,14 @@ def _questions(buckets: int, groups: int):
     return run
 
 
-def _repeated(groups: int):
+def _repeated(buckets: int, groups: int):
+    """SOURCE answers, and one MEMBER row of a bucket, addressed to the bucket itself."""
+
     def run(asked: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        parts = []
+        parts, members = [], []
         for kind, payload in asked:
-            if kind < 0:  # found within its chunk
-                yield -1 - kind, MEMBER, payload
+            if kind == MEMBER:  # found within its chunk
+                members.append(tuple(unpack(payload, np.uint64)))
             else:
                 parts.append(unpack(payload, np.uint64, np.bool_))
         if not parts:
@@ -111,8 +115,8 @@ def _repeated(groups: int):
         again = (ids[start] != ids[end - 1]) | np.logical_or.reduceat(twice, start)
         yield from _sent(groups, SOURCE, ids[start][again], edge[start][again])
         later = ids > np.repeat(ids[start], end - start)
-        for g, p in _members(groups, ids[later], edge[later]):
-            yield g, MEMBER, p
+        members.append((np.mod(ids[later], groups), edge[later]))
+        yield int(edge[0] % np.uint64(buckets)), MEMBER, _members(*(np.concatenate(c) for c in zip(*members)))
 
     return run
 
@@ -315,21 +319,27 @@ def _coordinates(buckets: int):
     return run
 
 
-def _told_paths(asked: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """PATH answers for the groups that hold an edge; coordinates (kind -1) and groups' edges (kind: the group) come in any order."""
-    known, wanted = [], {}
-    for kind, payload in asked:
-        if kind < 0:
-            known.append(unpack(payload, np.uint64, np.uint64, np.uint32))
-        else:
-            wanted.setdefault(kind, []).append(np.frombuffer(payload, np.uint64))
-    src, edge, line, pos = _sorted(known, np.int64, np.uint64, np.uint64, np.uint32)
-    for g, parts in wanted.items():
-        asks = np.unique(np.concatenate(parts))
-        if len(edge):
-            at = np.minimum(np.searchsorted(edge, asks), len(edge) - 1)
-            at = at[edge[at] == asks]
-            yield g, PATH, pack(src[at], edge[at], line[at], pos[at])
+def _told_paths(groups: int):
+    """PATH answers for the groups that hold an edge, from coordinates (kind -1) and members."""
+
+    def run(asked: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        known, members = [], []
+        for kind, payload in asked:
+            if kind < 0:
+                known.append(unpack(payload, np.uint64, np.uint64, np.uint32))
+            else:
+                members.append(unpack(payload, np.uint64))
+        if not known or not members:
+            return
+        src, edge, line, pos = _sorted(known, np.int64, np.uint64, np.uint64, np.uint32)
+        grp, asks = (np.concatenate(c) for c in zip(*members))
+        at = np.minimum(np.searchsorted(edge, asks), len(edge) - 1)
+        hit = edge[at] == asks
+        grp, at = grp[hit], at[hit]
+        for g, some in by_key(grp, groups):
+            yield g, PATH, pack(src[at[some]], edge[at[some]], line[at[some]], pos[at[some]])
+
+    return run
 
 
 def _digest(words: list[bytes]) -> tuple[int, int]:
@@ -470,18 +480,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     larger than any other. An empty table gives no rows.
     """
     buckets, groups = counts(docs.sparkSession)
-    told = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _repeated(groups)), free=True)
+    told = cut(settle(ask(docs, doc_id, text, _questions(buckets, groups)), _repeated(buckets, groups)), free=True)
     pieces = cut(_as_blobs(meet(docs, doc_id, text, told.where(f"kind = {SOURCE}"), groups), *_pieces(groups)), free=True)
     placed = _over_pieces(graph(pieces, groups).unionByName(pieces), _coordinates(buckets), ASKED)
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                found = zip(b.column("grp").to_pylist(), b.column("payload").to_pylist())
-                yield rows(ASKED, [(int(np.frombuffer(p, np.uint64, 1)[0] % np.uint64(buckets)), g, p) for g, p in found])
-
-    asks = told.where(f"kind = {MEMBER}").select("grp", "payload").mapInArrow(members, ASKED)
-    paths = cut(settle(placed.unionByName(asks), _told_paths), free=True)
+    asks = told.where(f"kind = {MEMBER}").select(F.col("grp").alias("bucket"), "kind", "payload")
+    paths = cut(settle(placed.unionByName(asks), _told_paths(groups)), free=True)
 
     def removed(answers: DataFrame, single: bool) -> DataFrame:
         load, work = _removed(groups, single)
