@@ -10,11 +10,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions import payload as P
 from tidemill.functions.policy import DEFAULT, Policy
 from tidemill.operators import fold as fold_ops
 from tidemill.operators import transitions as X
 from tidemill.operators.ledger import Ledger
 from tidemill.plans import pipeline, projection, readers
+from tidemill.plans.worker import Worker, utc_now
 from tidemill.sources.store import LedgerStore
 
 
@@ -66,11 +68,12 @@ class App:
     jobs: dict[str, pipeline.Job] = field(default_factory=dict)
     policies: dict[str, Policy] = field(default_factory=dict)
     swept_at: datetime | None = None
+    running: Worker | None = None
 
-    def queue(self, name: str, handler: Callable, policy: Policy = DEFAULT) -> None:
-        """Registers the handler of a queue; it takes a payload and returns nothing."""
+    def queue(self, name: str, handler: Callable, policy: Policy = DEFAULT, argument: str = "value") -> None:
+        """Registers the handler of a queue; it takes a payload (see ``Step.argument``) and returns nothing."""
         job = QueueJob(name)
-        job.step("handle", handler, policy=policy, timeout=self.config.handler_timeout.total_seconds())
+        job.step("handle", handler, policy=policy, timeout=self.config.handler_timeout.total_seconds(), argument=argument)
         self.jobs[name] = job
         self.policies[name] = policy
 
@@ -81,6 +84,9 @@ class App:
 
     def enqueue(self, queue: str, payloads: DataFrame, now: datetime, at: datetime | None = None, after: timedelta | None = None, policy: Policy | None = None) -> int:
         """Adds one item for each row of ``payloads`` (column ``payload``, and ``ord`` if their order matters); returns how many."""
+        wrong = payloads.where(F.col("payload").isNotNull() & ~P.valid(F.col("payload"))).select("payload").first()
+        if wrong is not None:
+            raise ValueError(f"a payload is no JSON: {wrong['payload'][:80]!r}")
         due = at or (now + after if after else None)
         rows = payloads if "ord" in payloads.columns else payloads.withColumn("ord", F.monotonically_increasing_id())
         new = rows.select("ord", "payload", F.lit(queue).alias("queue"), (policy or self.policies.get(queue, DEFAULT)).column().alias("policy"))
@@ -109,9 +115,22 @@ class App:
             self.swept_at = now
         return n
 
-    def stop(self, now: datetime) -> None:
-        """Gives back what this worker still holds."""
-        self.store.apply(lambda g: pipeline.Runner([], self.worker).drain(g, now))
+    def start(self, **options) -> Worker:
+        """Runs the loops in the background until ``stop``; options go to the worker."""
+        if self.running is not None:
+            raise RuntimeError("the app runs already")
+        observer = {"observer": self.observer} if self.observer is not None else {}
+        self.running = Worker(self.store, list(self.jobs.values()), self.config, self.worker, **observer, **options)
+        self.running.start()
+        return self.running
+
+    def stop(self, now: datetime | None = None) -> None:
+        """Ends the loops, if they run, and gives back what this worker still holds."""
+        if self.running is not None:
+            self.running.stop()
+            self.running = None
+        else:
+            self.store.apply(lambda g: pipeline.Runner([], self.worker).drain(g, now or utc_now()))
 
     def ledger(self) -> Ledger:
         return self.store.load()[0]

@@ -13,7 +13,7 @@ from tidemill.operators import fold as fold_ops
 from tidemill.operators import transitions as X
 from tidemill.plans import projection, readers
 from tidemill.schema import RETENTION_ZERO, SCHEMA_VERSION
-from tidemill.sources.store import LedgerStore, migrations
+from tidemill.sources.store import LedgerStore, migrate, migrations
 
 LIMIT = 20
 
@@ -35,7 +35,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemill")
     p.add_argument("--root", required=True, help="folder of the ledger")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("migrate").add_argument("what", choices=["status", "up", "down"])
+    m = sub.add_parser("migrate")
+    m.add_argument("what", choices=["status", "up", "down"])
+    m.add_argument("--to", type=int, default=None)
     sub.add_parser("queues")
     dlq = sub.add_parser("dlq")
     dlq.add_argument("what", choices=["ls", "replay"])
@@ -63,8 +65,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     store = LedgerStore(spark or session(), a.root)
     show = lambda text: print(text, file=out)
     if a.command == "migrate":
+        have = store.versions()
+        at = store._read(have[-1])["schema"] if have else SCHEMA_VERSION
+        if a.what != "status":
+            to = a.to or (SCHEMA_VERSION if a.what == "up" else at - 1)
+            if (to > at) == (a.what == "down") and to != at or to < 1:
+                show(f"cannot go {a.what} from version {at} to {to}")
+                return 1
+            before, at = migrate(store, to)
+            show(f"schema {before} -> {at}")
         for version, what in migrations():
-            show(f"{version}  {what}  {'applied' if version <= SCHEMA_VERSION else 'pending'}")
+            show(f"{version}  {what}  {'applied' if version <= at else 'pending'}")
         return 0
     ledger, _ = store.load()
     if a.command == "queues":

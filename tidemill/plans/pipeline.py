@@ -12,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import signal
+import threading
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -29,6 +32,7 @@ from tidemill.sources.store import checkpoint
 
 FLUSH_SIZE = 500
 FLUSH_SECONDS = 1.0
+TIMED_OUT = "handler timeout"
 HANDLED = "id bigint, attempt int, outcome string, outputs array<array<string>>, error string"
 
 
@@ -40,6 +44,10 @@ class OutClosed(RuntimeError):
     """The stream's handler has returned."""
 
 
+class Overrun(BaseException):
+    """Raised inside a handler whose time is up; not an Exception, so that handlers do not swallow it."""
+
+
 class Out:
     """Outputs of a stream handler, in chunks of ``size`` or as old as ``seconds``; ages are checked as items come."""
 
@@ -83,6 +91,32 @@ class Step:
     stream: bool = False
     flush_size: int = FLUSH_SIZE
     timeout: float = 300.0
+    argument: str = "value"  # what the handler gets: the decoded value, the payload's "raw" bytes, or the "item" as a dict
+
+
+ITEM = ("id", "queue", "attempt", "max_attempts", "execution_id", "step_id", "item_id", "parent_item_id")
+
+
+@contextmanager
+def limited(seconds: float):
+    """Interrupts the block by Overrun once its time is up; where signals cannot reach it, it is found out at its end."""
+    began = time.monotonic()
+    timed = seconds > 0 and threading.current_thread() is threading.main_thread()
+
+    def ring(*_):
+        raise Overrun
+
+    if timed:
+        before = signal.signal(signal.SIGALRM, ring)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+        if seconds > 0 and time.monotonic() - began > seconds:
+            raise Overrun
+    finally:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
 
 
 @dataclass
@@ -96,6 +130,8 @@ class Job:
         takes = len([p for p in inspect.signature(handler).parameters.values() if p.default is p.empty])
         if takes != (2 if options.get("stream") else 1):
             raise graph.GraphError(f"the handler of step {id!r} takes {takes} arguments")
+        if options.get("argument", "value") not in ("value", "raw", "item"):
+            raise graph.GraphError(f"step {id!r} asks for {options['argument']!r}; a handler gets a value, raw bytes or an item")
         self.steps.append(Step(id, handler, (after,) if isinstance(after, str) else after, **options))
         return self
 
@@ -127,19 +163,20 @@ def handle(items: DataFrame, step: Step) -> DataFrame:
     """HANDLED rows: what the step's handler made of each item.
 
     A payload that is no JSON, an exception and an overrun are errors of that
-    item alone. A handler cannot be interrupted: one that overruns its time is
-    found out when it returns.
+    item alone; a handler that overruns its time is interrupted, so the next
+    item gets its turn.
     """
-    fn, stream, size, timeout = step.handler, step.stream, step.flush_size, step.timeout
+    fn, stream, size, timeout, argument = step.handler, step.stream, step.flush_size, step.timeout, step.argument
 
-    def one(payload: str) -> tuple[str, list[list[str]], str | None]:
+    def one(item: dict) -> tuple[str, list[list[str]], str | None]:
         out = Out(size)
-        began = time.monotonic()
+        payload = item["payload"]
         try:
-            value = json.loads(payload)
-            made = fn(value, out) if stream else fn(value)
-            if time.monotonic() - began > timeout:
-                return "error", out.chunks if stream else [], "handler timeout"
+            value = payload.encode() if argument == "raw" else json.loads(payload)
+            if argument == "item":
+                value = {c: item.get(c) for c in ITEM} | {"payload": value}
+            with limited(timeout):
+                made = fn(value, out) if stream else fn(value)
             if stream:
                 rest = out.buffer
                 out.closed = True
@@ -148,6 +185,9 @@ def handle(items: DataFrame, step: Step) -> DataFrame:
                 return "success", [[]], None
             many = made if isinstance(made, list) else [made]
             return ("success" if many else "filtered"), [[_json(m) for m in many]], None
+        except Overrun:
+            out.closed = True
+            return "error", out.chunks if stream else [], TIMED_OUT
         except Discard as e:
             return "discard", out.chunks if stream else [], str(e)
         except Exception as e:  # the item's own failure
@@ -155,10 +195,11 @@ def handle(items: DataFrame, step: Step) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [one(p) for p in f["payload"]]
-            yield pd.DataFrame({"id": f["id"], "attempt": f["attempt"], "outcome": [r[0] for r in rows], "outputs": [r[1] for r in rows], "error": [r[2] for r in rows]})
+            found = [one(item) for item in f.to_dict("records")]
+            yield pd.DataFrame({"id": f["id"], "attempt": f["attempt"], "outcome": [r[0] for r in found], "outputs": [r[1] for r in found], "error": [r[2] for r in found]})
 
-    source = items.select("id", "attempt", "payload")
+    names = dict.fromkeys(["id", "attempt", "payload", *(c for c in ITEM if argument == "item" and c in items.columns)])
+    source = items.select(*names)
     return (source.repartition(step.concurrency) if step.concurrency > 1 else source).mapInPandas(run, HANDLED)
 
 
@@ -191,37 +232,62 @@ def routed(job: Job, step: Step, wired: dict[str, list[str]], handled: DataFrame
 
 @dataclass(frozen=True)
 class Settled:
-    completed: int = 0
+    success: int = 0
+    filtered: int = 0
     retried: int = 0
     dead: int = 0
+    released: int = 0
+    stuck: int = 0
 
+    @property
+    def completed(self) -> int:
+        return self.success + self.filtered
 
-def settle(ledger: Ledger, job: Job, step: Step, wired: dict[str, list[str]], taken: DataFrame, worker: str, now: datetime) -> tuple[Ledger, Settled]:
-    """Runs a step on claimed items and puts the outcomes into the ledger."""
-    # Handlers must run once, although several transitions read what they made.
+    def by_outcome(self) -> dict[str, int]:
+        return {"success": self.success, "filtered": self.filtered, "retried": self.retried, "dead_lettered": self.dead, "released": self.released}
+
+
+def ran(job: Job, step: Step, wired: dict[str, list[str]], taken: DataFrame) -> DataFrame:
+    """What handlers made of claimed items, computed once, although several transitions read it."""
     made = checkpoint(routed(job, step, wired, handle(taken, step), taken))
     if not wired[step.id] and not made.where(F.size("flat") > 0).isEmpty():
         raise graph.GraphError(f"step {step.id!r} made output, but no step comes after it")
+    return made
+
+
+def settled(ledger: Ledger, job: Job, step: Step, wired: dict[str, list[str]], made: DataFrame, taken: DataFrame, worker: str, now: datetime, releasing: bool = False) -> tuple[Ledger, Settled]:
+    """Puts the outcomes of ``ran`` into the ledger: done, dead after a discard or the last attempt, else tried again.
+
+    ``releasing``: the worker is stopping, so items whose handler failed are given back with their attempt.
+    """
     asked = made.select(F.col("id").alias("ord"), "*").withColumn("worker", F.lit(worker))
     n = {r["outcome"]: r["n"] for r in asked.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     done = asked.where(F.col("outcome").isin("success", "filtered"))
     if n.get("success") or n.get("filtered"):
         ledger, _ = X.complete(ledger, done.select("ord", "id", "worker", "produced", (F.col("outcome") == "filtered").alias("filtered")), now)
     failed = asked.where(F.col("outcome").isin("error", "discard"))
-    dead = retried = 0
+    dead = retried = released = stuck = 0
     if n.get("error") or n.get("discard"):
         if step.stream:  # what was flushed before the failure stays
             ledger, _ = X.emit(ledger, failed.select("ord", "id", "worker", "attempt", "produced"), now)
         budget = taken.select("id", (F.col("attempt") >= F.col("max_attempts")).alias("spent"))
         failed = checkpoint(failed.join(budget, "id"))
-        over = (F.col("outcome") == "discard") | F.col("spent")
+        stuck = failed.where(F.col("error") == TIMED_OUT).count()
+        over = F.col("outcome") == "discard" if releasing else (F.col("outcome") == "discard") | F.col("spent")
         dead = failed.where(over).count()
-        retried = failed.count() - dead
+        rest = failed.count() - dead
         if dead:
             ledger, _ = X.dead_letter(ledger, failed.where(over).select("ord", "id", "worker", "error"), now)
-        if retried:
-            ledger, _ = X.retry(ledger, failed.where(~over).select("ord", "id", "worker", "error"), now)
-    return ledger.settled(), Settled(n.get("success", 0) + n.get("filtered", 0), retried, dead)
+        if rest and releasing:
+            ledger, released = X.release(ledger, failed.where(~over).select("ord", "id", "worker"), now)[0], rest
+        elif rest:
+            ledger, retried = X.retry(ledger, failed.where(~over).select("ord", "id", "worker", "error"), now)[0], rest
+    return ledger.settled(), Settled(n.get("success", 0), n.get("filtered", 0), retried, dead, released, stuck)
+
+
+def settle(ledger: Ledger, job: Job, step: Step, wired: dict[str, list[str]], taken: DataFrame, worker: str, now: datetime) -> tuple[Ledger, Settled]:
+    """Runs a step on claimed items and puts the outcomes into the ledger."""
+    return settled(ledger, job, step, wired, ran(job, step, wired, taken), taken, worker, now)
 
 
 @dataclass
@@ -251,7 +317,9 @@ class Runner:
                 ledger, got = settle(ledger, job, step, wired, taken, self.worker, now)
                 total += got.completed + got.retried + got.dead
                 if self.observer is not None:
-                    self.observer.settled(job.queue(step.id), got)
+                    for outcome, count in got.by_outcome().items():
+                        if count:
+                            self.observer.item_finished(job.queue(step.id), step.id, outcome, count, 0.0)
         return ledger, total
 
     def run(self, ledger: Ledger, now: datetime, rounds: int = 100) -> Ledger:

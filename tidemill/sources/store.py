@@ -87,17 +87,21 @@ class LedgerStore:
                 continue
             frame.write.partitionBy(*PARTITIONED.get(t, [])).parquet(f"{self.root}/{at}/{t}")
             tables[t] = at
-        body = json.dumps({"schema": SCHEMA_VERSION, "tables": tables, "next_item": new.next_item, "next_attempt": new.next_attempt})
+        self._publish(version + 1, {"schema": SCHEMA_VERSION, "tables": tables, "next_item": new.next_item, "next_attempt": new.next_attempt}, at, before_rename)
+        return version + 1
+
+    def _publish(self, version: int, manifest: dict, at: str, before_rename: Callable[[], None] | None = None) -> None:
+        """Makes a manifest visible under its version, or fails if that is taken."""
+        body = json.dumps(manifest)
         draft = self._path(f"{self.root}/{at}/manifest")
         out = self._fs.create(draft, True)
         out.write(bytearray(body.encode()))
         out.close()
         if before_rename:
             before_rename()
-        target = self._path(self._manifest(version + 1))
+        target = self._path(self._manifest(version))
         if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise Conflict(f"version {version + 1} was taken")
-        return version + 1
+            raise Conflict(f"version {version} was taken")
 
     def apply(self, change: Callable[[Ledger], object]) -> object:
         """Runs a transition on the latest version and commits it; returns what it returned besides the ledger."""
@@ -121,9 +125,36 @@ class LedgerStore:
         return gone
 
 
+# Tables that each version of the schema brought.
+MIGRATIONS = [
+    (1, "ledger tables", ["queues", "items", "executions", "steps", "attempts"]),
+    (2, "step edges", ["step_edges"]),
+    (3, "folded counts, hourly tally and history", ["step_counts", "done_hourly", "item_history"]),
+]
+
+
 def migrations() -> list[tuple[int, str]]:
     """Versions of the schema and what each brought."""
-    return [(1, "ledger tables"), (2, "step edges"), (3, "folded counts, hourly tally and history")]
+    return [(v, what) for v, what, _ in MIGRATIONS]
+
+
+def migrate(store: LedgerStore, to: int = SCHEMA_VERSION) -> tuple[int, int]:
+    """Brings a ledger to another version of the schema in one manifest; returns the versions before and after.
+
+    Going up adds empty tables; going down forgets what later versions
+    brought, whose files go with the next vacuum. Migrating is never done on
+    its own: opening a ledger of another version fails.
+    """
+    if not 0 < to <= SCHEMA_VERSION:
+        raise ValueError(f"there is no version {to} of the schema")
+    have = store.versions()
+    if not have:
+        return to, to
+    m = store._read(have[-1])
+    known = {t for v, _, tables in MIGRATIONS if v <= to for t in tables}
+    if m["schema"] != to:
+        store._publish(have[-1] + 1, m | {"schema": to, "tables": {t: m["tables"].get(t) for t in TABLES if t in known}}, f"v={have[-1] + 1}-migrated")
+    return m["schema"], to
 
 
 def import_jdbc(spark: SparkSession, url: str, tables: dict[str, str], properties: dict[str, str] | None = None, partitions: int = 16, bounds: tuple[int, int] | None = None) -> Ledger:
