@@ -29,6 +29,47 @@ select d.doc_id, coalesce(n, 0) as n_shingles, least as component_id, d.doc_id =
 """
 
 
+SUFFIXES = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, p, array_slice(b, p, p + 49) as s from (select doc_id, b, unnest(range(1, greatest(1, octet_length(b) - 48))) as p from d) x),
+m as (select s, min(doc_id) as least from w group by s),
+hit as (select doc_id, p from w join m using (s) where doc_id > least),
+edge as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as opens from hit),
+run as (select doc_id, min(p) as a, max(p) + 49 as z from (select doc_id, p, sum(opens) over (partition by doc_id order by p) as n from edge) x group by doc_id, n),
+part as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as f, a - 1 as t from run union all select doc_id, max(z) + 1, 1000000000 from run group by doc_id),
+kept as (select doc_id, unhex(string_agg(hex(array_slice(b, f, least(t, octet_length(b)))), '' order by f)) as b from part join d using (doc_id) where f <= least(t, octet_length(b)) group by doc_id),
+gone as (select doc_id, cast(sum(z - a + 1) as bigint) as n, count(*) as runs from run group by doc_id)
+select d.doc_id, octet_length(d.b) as n_bytes, coalesce(n, 0) as n_removed, coalesce(runs, 0) as n_spans, sha256(case when n is null then d.b else coalesce(k.b, encode('')) end) as kept_sha256
+from d left join gone using (doc_id) left join kept k using (doc_id)
+"""
+
+QUALITY_BASE = f"""
+with d as (select doc_id, coalesce(text, '') as text, {WORDS.format("coalesce(text, '')")} as words from documents),
+line as (select doc_id, s, row_number() over (partition by doc_id, s) as n from (select doc_id, unnest(string_split(text, chr(10))) as s from d) x where regexp_matches(s, '[^\x20\x09-\x0D]')),
+dup as (select doc_id, count(*) filter (where n > 1) as n from line group by doc_id),
+w as (select doc_id, p, array_to_string(words[p:p + 7], ' ') as s from (select doc_id, words, unnest(range(1, greatest(1, len(words) - 6))) as p from d) x),
+twice as (select doc_id, s from w group by doc_id, s having count(*) > 1),
+covered as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(p, p + 8)) as p from w join twice using (doc_id, s)) x group by doc_id)
+select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(dup.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, len(words) < 20 or 100 * coalesce(covered.n, 0) > 30 * len(words) as base_failed
+from d left join dup using (doc_id) left join covered using (doc_id)
+"""
+
+EDITED = """
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(text) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as after from documents)
+select doc_id, length(t) as n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) as edited_sha256 from d
+"""
+
+TARGETS = f"""
+with recursive s as (select source, sum(size)::double as size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end as w
+  from (select source, len({WORDS.format("coalesce(text, '')")}) as size from documents) x group by source),
+c as (select *, 3 * size as most, row_number() over (order by 3 * size / w, source nulls last) as place from s),
+fill as (select place, (sum(size) over () - coalesce(sum(most) over (order by place rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by place rows between current row and unbounded following) as level, most / w as own from c),
+fixed as (select min(place) as place, arg_min(level, place) as level from fill where own > level)
+select source, cast(size as bigint) as source_size, round(case when fixed.place is null or c.place < fixed.place then most else w * fixed.level end, 3) as target from c, fixed
+"""
+
+
 def urls_sql(rules) -> str:
     """Rules in order, then what blocked addresses reach over canonical and refresh links."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"

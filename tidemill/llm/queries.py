@@ -55,8 +55,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_mixing_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return op8_mixing_full(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +71,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op3_quality`` counts, whatever the field makes of the lines."""
+    return op3_quality(spark, sf_dir).drop("content_share", "kept")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that ``op5_fingerprints`` compares."""
+    return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that ``op8_mixing`` meets."""
+    return op8_mixing_full(spark, sf_dir).groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_suffixes": op2_suffixes,
@@ -79,6 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_urls": op10_urls,
     "fingerprint_classes": fingerprint_classes,
+    "quality_base": quality_base,
+    "edited_texts": edited_texts,
+    "mixing_targets": mixing_targets,
 }
 
-SQL: dict[str, str] = {"op6_debruijn": oracles.DEBRUIJN, "op9_minhash": oracles.MINHASH, "op10_urls": oracles.urls_sql(URL_RULES)}
+SQL: dict[str, str] = {
+    "op2_suffixes": oracles.SUFFIXES,
+    "quality_base": oracles.QUALITY_BASE,
+    "edited_texts": oracles.EDITED,
+    "mixing_targets": oracles.TARGETS,
+    "op6_debruijn": oracles.DEBRUIJN,
+    "op9_minhash": oracles.MINHASH,
+    "op10_urls": oracles.urls_sql(URL_RULES),
+}
