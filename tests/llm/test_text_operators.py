@@ -266,6 +266,17 @@ def test_shared_hashes_are_told_apart(spark, monkeypatch):
     assert by_row(debruijn.deduplicate(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
 
 
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    from tidemill.llm import kernel
+
+    data = np.frombuffer(b"a bb ccc " * 500 + b"x" * 900 + b" a bb", np.uint8)
+    starts, ends = kernel.words_of(data)
+    whole = kernel.span_hashes(data, starts, ends)
+    monkeypatch.setattr(kernel, "STRETCH", 100)
+    assert (kernel.span_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 4
+    assert whole[0] == whole[-2] and whole[1] == whole[-1] and not len(kernel.span_hashes(data, starts[:0], ends[:0]))
+
+
 def brute_quality(t):
     t = t or ""
     words = t.encode().split()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
+PAUSE = 0.7  # seconds between rounds of collecting garbage
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,7 +49,7 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     for _ in range(3 if free else 0):  # listeners hold a finished query for a moment
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+        time.sleep(PAUSE)
     return out
 
 
@@ -98,6 +99,3 @@ def add_columns(
 
     return source.mapInArrow(run, schema)
 
-
-def sql_name(column: str):
-    return F.col(f"`{column}`")

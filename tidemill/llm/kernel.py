@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+STRETCH = 1 << 20
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -54,31 +56,6 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of data[i:i+width] for each i, len(data) - width + 1 of them."""
-    n = len(data)
-    if n < width:
-        return np.empty(0, np.uint64)
-    # H_{a+b}(i) = H_a(i) * B^b + H_b(i+a), built by doubling.
-    h, have = CODES[data], 1
-    done, out = 0, None
-    bits = width
-    while True:
-        if bits & 1:
-            if out is None:
-                out, done = h, have
-            else:
-                m = min(len(out), len(h) - done) if len(h) > done else 0
-                out = out[:m] * np.uint64(pow(_BASE, have, 1 << 64)) + h[done : done + m]
-                done += have
-        bits >>= 1
-        if not bits:
-            break
-        h = h[: len(h) - have] * np.uint64(pow(_BASE, have, 1 << 64)) + h[have:]
-        have *= 2
-    return mix(out[: n - width + 1])
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i:i+width]) for each i."""
     have = 1
@@ -103,15 +80,20 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each data[start:end]; spans must not overlap and be ascending."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    n = len(data)
-    # Prefix sums of code * B^-i; a span's sum is then shifted by B^start.
-    pre = np.empty(n + 1, np.uint64)
-    pre[0] = 0
-    np.cumsum(CODES[data] * powers(_INVERSE, n), out=pre[1:])
-    return mix((pre[ends] - pre[starts]) * powers(_BASE, n)[starts] + (ends - starts).astype(np.uint64))
+    """Hash of each data[start:end]; spans must not overlap and be ascending. About STRETCH bytes are looked at at a time."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + STRETCH, side="right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        # Prefix sums of code * B^-i; a span's sum is then shifted by B^start.
+        pre = np.empty(high - low + 1, np.uint64)
+        pre[0] = 0
+        np.cumsum(CODES[data[low:high]] * powers(_INVERSE, high - low), out=pre[1:])
+        first, last = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((pre[last] - pre[first]) * powers(_BASE, high - low)[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 def sequence_windows(h: np.ndarray, width: int) -> np.ndarray:
