@@ -198,13 +198,16 @@ def _within(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == keys if len(among) else np.zeros(len(keys), bool)
 
 
-def _wrapped(head: bytes, text: bytes) -> bytes:
-    return len(head).to_bytes(8, "little") + len(text).to_bytes(8, "little") + head + pa.compress(text, "zstd", asbytes=True)
+def _wrapped(head: bytes, plain: bytes, text: bytes) -> bytes:
+    """``head`` and ``text`` compressed, and ``plain``, which hashes fill, as it is."""
+    sizes = np.array([len(head), len(plain), len(text)], np.int64).tobytes()
+    return sizes + plain + pa.compress(head + text, "zstd", asbytes=True)
 
 
-def _unwrapped(payload: bytes) -> tuple[bytes, np.ndarray]:
-    n, size = (int.from_bytes(payload[i : i + 8], "little") for i in (0, 8))
-    return payload[16 : 16 + n], np.frombuffer(pa.decompress(payload[16 + n :], size, "zstd", asbytes=True), np.uint8)
+def _unwrapped(payload: bytes) -> tuple[bytes, bytes, np.ndarray]:
+    head, plain, text = (int(n) for n in np.frombuffer(payload, np.int64, 3))
+    both = pa.decompress(payload[24 + plain :], head + text, "zstd", asbytes=True)
+    return both[:head], payload[24 : 24 + plain], np.frombuffer(both, np.uint8, offset=head)
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -238,7 +241,10 @@ def _pieces(buckets: int, groups: int):
         later = same & (owner > owner[lead])
         mask = ((np.int64(1) << (most + 1)) - (np.int64(1) << least)).astype(np.uint32)
         out = [(int(g % buckets), -1 - g, p) for g, _, p in _answers(BEATEN, groups, owner[later], near[later], mask[later])]
-        owner, near, around, least, most, gram = (c[~same] for c in (owner, near, around, least, most, gram))
+        # By document: ids then differ little from one to the next, and so does a document's language.
+        left = np.flatnonzero(~same)
+        left = left[np.argsort(owner[left], kind="stable")]
+        owner, near, around, least, most, gram = (c[left] for c in (owner, near, around, least, most, gram))
         for side, a, b in ((0, least, np.minimum(most, HALF - 1)), (1, np.maximum(least, HALF), most)):
             some = np.flatnonzero(a <= b)
             if not len(some):
@@ -249,7 +255,7 @@ def _pieces(buckets: int, groups: int):
             flat = around.ravel()
             for bucket, at in by_key((route % np.uint64(buckets)).astype(np.int64), buckets):
                 text = flat[_spans(some[at] * SPAN + REACH - high[at], high[at] - low[at] + WIDTH)]
-                out.append((bucket, 0, _wrapped(pack(owner[some[at]], near[some[at]], low[at].astype(np.uint8), high[at].astype(np.uint8)), text.tobytes())))
+                out.append((bucket, 0, _wrapped(pack(owner[some[at]], low[at].astype(np.uint8), high[at].astype(np.uint8)), near[some[at]].tobytes(), text.tobytes())))
         return out
 
     return work
@@ -381,9 +387,9 @@ def _compared(groups: int):
             if kind < 0:  # settled within its chunk
                 yield -1 - kind, BEATEN, payload
                 continue
-            head, text = _unwrapped(payload)
-            ids, near, least, most = unpack(head, np.uint64, np.uint8, np.uint8)
-            held.append((ids, near, least, most, text))
+            head, near, text = _unwrapped(payload)
+            ids, least, most = unpack(head, np.uint8, np.uint8)
+            held.append((ids, np.frombuffer(near, np.uint64), least, most, text))
             strings += int((most - least).sum()) + len(ids)
             if strings >= BATCH:
                 flush()
