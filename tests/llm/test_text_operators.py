@@ -653,7 +653,8 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     assert kept == by_row(minhash.distinct_documents(docs(spark, rows).repartition(5)), "doc_id", "text")
 
 
-def test_components_join_hubs_apart(spark):
+def test_components_join_hubs_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 1000)
     edges = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 2)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(got) == 3000 + 1500 and set(got.values()) == {0}

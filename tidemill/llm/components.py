@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so no node's neighbours are ever
-gathered in one place. Hubs, of which there are HUBS at most, are joined by
-broadcast, so that their edges stay where they are.
+gathered in one place. Nodes with very many edges, of which there are HUBS at
+most, are joined by broadcast, so that their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -14,17 +14,20 @@ from tidemill.llm.frames import cut
 
 MAX_ROUNDS = 60
 HUBS = 100_000
+HUB_EDGES = 20_000  # a node with fewer is no hub
 
 
-def _least_linked(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """``edges`` (u, v) as (v, least of u); u has more than ``hub`` edges for few u."""
+def _least_linked(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """``edges`` (u, v) as (v, least of u); u with more than ``hub`` edges are few, and none if ``hub`` is None."""
+    if hub is None:
+        return edges.join(least.drop("n"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     hubs = F.broadcast(least.where(F.col("n") > hub).select(F.col("u").alias("h"), F.col("m").alias("hm")))
     met = edges.join(hubs, F.col("u") == F.col("h"), "left")
     joined = met.where("h IS NULL").select("u", "v").join(least.where(F.col("n") <= hub), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return met.where("h IS NOT NULL").select(F.col("v").alias("u"), F.col("hm").alias("v")).unionByName(joined)
 
 
-def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
     """edges (u, v) with u > v; links each node's larger (large) or smaller neighbours to its least one."""
     if large:
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,6 +43,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _most(edges: DataFrame) -> int:
+    """The largest number of edges that a node has."""
+    return edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node with an edge; component is the least node it reaches.
 
@@ -50,7 +58,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     stars = cut(both.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     state = _state(stars)
     for _ in range(MAX_ROUNDS if state[0] else 0):
-        hub = max(1000, 2 * state[0] // HUBS)  # edges have two ends, so HUBS nodes at most have more
+        hub = max(HUB_EDGES, 2 * state[0] // HUBS)  # edges have two ends, so HUBS nodes at most have more
+        if state[0] <= hub or _most(stars) <= hub:
+            hub = None
         stars = cut(_star(_star(stars, True, hub), False, hub))
         before, state = state, _state(stars)
         if before == state:
