@@ -44,6 +44,7 @@ CALIBRATION_DOCS = 8_000
 GRAMS, CONTEXTS, ASK = 0, 1, 2  # kinds of ROWS in a bucket, in the order they are read
 ROWS = "bucket int, kind int, grp int, payload binary"
 PACKED = 1 << 20  # expressions of the table that are packed together
+AT_ONCE = 1 << 20  # bytes of text whose expressions a task holds while it scores
 
 _INK = np.zeros(256, bool)  # ASCII letters and digits and all beyond ASCII; the rest separates
 _INK[128:] = True
@@ -123,7 +124,7 @@ def _labels(labels: DataFrame, doc_id: str, label: str) -> tuple[DataFrame, Data
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct expressions of each chunk with their counts by class."""
     for whole in batches:
-        for part in slices(whole, "text", 8 << 20):
+        for part in slices(whole, "text", 4 * AT_ONCE):
             key, doc = _grams(part.column("text").to_pylist())
             y = np.array(part.column("y").to_pylist(), np.int64)[doc]
             key, at = np.unique(key, return_inverse=True)
@@ -320,7 +321,7 @@ def _directly(docs: DataFrame, text: str, keep: list[str], table: DataFrame) ->
 
         return run
 
-    return add_columns(docs, text, fields, make, keep)
+    return add_columns(docs, text, fields, make, keep, AT_ONCE)
 
 
 def _evidence(docs: DataFrame, text: str, keep: list[str], table: DataFrame, count: int, size: int) -> DataFrame:
