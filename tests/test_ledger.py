@@ -14,7 +14,7 @@ from tidemill.functions import payload as P
 from tidemill.functions import policy as R
 from tidemill.operators import fold as fold_ops
 from tidemill.operators import transitions as X
-from tidemill.operators.ledger import new_ledger, numbered
+from tidemill.operators.ledger import Ledger, new_ledger, numbered
 from tidemill.plans import graph, pipeline, projection, readers
 from tidemill.schema import RETENTION_NEVER, RETENTION_ZERO, violations
 from tidemill.sources.store import Conflict, LedgerStore
@@ -188,6 +188,52 @@ def test_sweep_bounds_batches_and_history(spark):
     assert [str(d) for d in fold_ops.history_days(NOW, timedelta(hours=72))] == ["2026-10-26", "2026-10-27", "2026-10-28", "2026-10-29", "2026-10-30", "2026-10-31"]
 
 
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_a_pass_writes_the_tables_once_whatever_its_pages(spark, monkeypatch):
+    g = finished(spark)
+    options, late = fold_ops.SweepOptions(RETENTION_ZERO), NOW + timedelta(days=1)
+    want, n = fold_ops.sweep_pass(g, options, late, folding=False)
+    writes, settled = [], Ledger.settled
+    monkeypatch.setattr(Ledger, "settled", lambda self: writes.append(1) or settled(self))
+    after, total = fold_ops.sweep_pass(g, options, late, folding=False, batch=2)
+    assert total == n > 4 and len(writes) == 1
+    assert rows_of(after.items) == rows_of(want.items) and rows_of(after.attempts) == rows_of(want.attempts)
+    assert fold_ops.sweep_pass(g, options, late, folding=False, batch=2, budget=-1) == (g, 0)
+
+
+def test_a_pass_that_failed_goes_on_in_pages(spark, monkeypatch):
+    g = finished(spark)
+    options, late = fold_ops.SweepOptions(RETENTION_ZERO), NOW + timedelta(days=1)
+    limits, sweep = [], fold_ops.sweep
+
+    def failing(ledger, options, now):
+        limits.append(options.limit)
+        if len(limits) < 3:
+            raise OSError("full")
+        return sweep(ledger, options, now)
+
+    monkeypatch.setattr(fold_ops, "sweep", failing)
+    after, total = fold_ops.sweep_pass(g, options, late, folding=False, batch=8, budget=14)
+    assert limits == [14, 8, 4, 8, 2] and total == 14
+    first = [r.id for r in fold_ops.due(g, fold_ops.SweepOptions(RETENTION_ZERO, limit=14), late).select("id").collect()]
+    assert rows_of(after.items) == rows_of(g.items.where(~F.col("id").isin(first)))
+    assert rows_of(after.attempts) == rows_of(g.attempts.where(~F.col("item_pk").isin(first)))
+
+
+def test_attempts_are_told_apart_by_marked_ids(spark, monkeypatch):
+    ids = [-40000, -32768, -1, 0, 1, 7, 8, 32767, 32768, 32769, 70000, 1 << 40]
+    attempts = spark.createDataFrame([(i,) for i in (*ids, *(i + 2 for i in ids), None)], "item_pk bigint")
+    gone = spark.createDataFrame([(i,) for i in (*ids, None)], "id bigint")
+    for marks in (fold_ops.MARKS, 0):
+        monkeypatch.setattr(fold_ops, "MARKS", marks)
+        mine, rest = ([r.item_pk for r in f.collect()] for f in fold_ops._split(attempts, gone))
+        assert sorted(mine) == sorted([*ids, *(i + 2 for i in ids if i + 2 in ids)])
+        assert sorted(rest, key=str) == sorted([*(i + 2 for i in ids if i + 2 not in ids), None], key=str)
+
+
 def test_breaker():
     b = fold_ops.Breaker(8)
     assert [b.failed(), b.failed(), b.failed(), b.failed(), b.succeeded()] == [4, 2, 1, 1, 8]

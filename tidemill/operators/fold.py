@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.payload import flags
@@ -20,6 +20,7 @@ from tidemill.sources.store import checkpoint
 
 HISTORY = timedelta(days=7)
 MAP = "map<string,bigint>"
+MARKS = 8192  # pages of marked ids that every task holds, 32 MB
 
 
 @dataclass(frozen=True)
@@ -55,33 +56,67 @@ def cutoff(options: SweepOptions, now: datetime) -> datetime | None:
     return now - (r or timedelta(days=7))
 
 
-def due(ledger: Ledger, options: SweepOptions, now: datetime) -> DataFrame:
-    """Done items with after <= finalized_at < cutoff, the oldest first if limited."""
+def _is_due(options: SweepOptions, now: datetime) -> Column:
+    """Whether an item is done with after <= finalized_at < cutoff; may be null for one that is not."""
     end = cutoff(options, now)
-    items = ledger.items.where(F.col("state") == "done")
-    items = items.where(F.col("finalized_at") < at(end)) if end is not None else items.where("false")
+    if end is None:
+        return F.lit(False)
+    when = (F.col("state") == "done") & (F.col("finalized_at") < at(end))
     if options.after is not None:
-        items = items.where(F.col("finalized_at") >= at(options.after))
-    if options.queue:
-        items = items.where(F.col("queue") == options.queue)
+        when &= F.col("finalized_at") >= at(options.after)
+    return when & (F.col("queue") == options.queue) if options.queue else when
+
+
+def due(ledger: Ledger, options: SweepOptions, now: datetime) -> DataFrame:
+    """Done items with after <= finalized_at < cutoff, the oldest first if limited."""
+    items = ledger.items.where(_is_due(options, now))
     return items.orderBy("finalized_at", "id").limit(options.limit) if options.limit > 0 else items
 
 
-def _without(ledger: Ledger, gone: DataFrame) -> Ledger:
-    ids = gone.select("id")
-    return ledger.having(items=ledger.items.join(ids, "id", "left_anti"), attempts=ledger.attempts.join(ids.select(F.col("id").alias("item_pk")), "item_pk", "left_anti"))
+# What a fold reads of the items it takes; a sweep reads the first two.
+TAKEN = ["id", "finalized_at", "queue", "outcome", "attempt", "max_attempts", *KEY, "item_id", "parent_item_id", "last_error", "produced", "dropped", "produced_capped", "created_at", "updated_at"]
 
 
-def _swept(gone: DataFrame) -> Swept:
+def _take(ledger: Ledger, options: SweepOptions, now: datetime, *read) -> tuple[DataFrame, Swept]:
+    """``read`` of what is due, computed once, and how much it is."""
+    gone = checkpoint(due(ledger, options, now).select(*read))
     row = gone.agg(F.count("*").alias("n"), F.max("finalized_at").alias("newest")).first()
-    return Swept(row["n"], row["newest"])
+    return gone, Swept(row["n"], row["newest"])
+
+
+def _split(attempts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attempts of the items ``gone``, and all others.
+
+    The ids gone are a bit each, in pages of 4 KB that every task holds, so
+    attempts stay where they are. Where ids lie so far apart that pages are
+    more than MARKS, attempts and ids are joined by an exchange.
+    """
+    ids = gone.select("id").where("id IS NOT NULL")
+    marks = checkpoint(ids.groupBy(F.bitmap_bucket_number("id").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("__bits")))
+    if marks.count() > MARKS:
+        pk = ids.select(F.col("id").alias("item_pk"))
+        return attempts.join(pk, "item_pk", "left_semi"), attempts.join(pk, "item_pk", "left_anti")
+    met = attempts.withColumn("__at", F.bitmap_bucket_number("item_pk")).join(F.broadcast(marks), F.col("__at") == F.col("__page"), "left")
+    place = F.bitmap_bit_position("item_pk")
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return met.where(hit).select(*attempts.columns), met.where(~hit).select(*attempts.columns)
+
+
+def _without(ledger: Ledger, options: SweepOptions, now: datetime, gone: DataFrame, told: Swept) -> Ledger:
+    """The ledger without the items ``gone``, which are all that is due, or the oldest if limited, and their attempts."""
+    mine = _is_due(options, now)
+    if options.limit > 0:
+        end = F.col("finalized_at") == at(told.newest)
+        last = gone.where(end).agg(F.max("id")).first()[0]
+        mine &= (F.col("finalized_at") < at(told.newest)) | (end & (F.col("id") <= last))
+    return ledger.having(items=ledger.items.where(~F.coalesce(mine, F.lit(False))), attempts=_split(ledger.attempts, gone)[1])
 
 
 def sweep(ledger: Ledger, options: SweepOptions, now: datetime) -> tuple[Ledger, Swept]:
     """Deletes what is due, attempts with it."""
-    gone = checkpoint(due(ledger, options, now))
-    told = _swept(gone)
-    return (_without(ledger, gone) if told.count else ledger), told
+    gone, told = _take(ledger, options, now, "id", "finalized_at")
+    return (_without(ledger, options, now, gone, told) if told.count else ledger), told
 
 
 def history_from(now: datetime, keep: timedelta = HISTORY):
@@ -146,12 +181,13 @@ def folded_history(ledger: Ledger, gone: DataFrame, since) -> DataFrame:
 
 def fold(ledger: Ledger, options: SweepOptions, now: datetime) -> tuple[Ledger, Swept]:
     """Deletes what is due and saves its counts, hourly tally and history in the same change."""
-    gone = checkpoint(due(ledger, options, now))
-    told = _swept(gone)
+    # Payloads only tell the flags of filtered items.
+    payload = F.when(F.col("outcome") == "filtered", F.col("payload")) if clean_labels(options.labels) else F.lit(None).cast("string")
+    gone, told = _take(ledger, options, now, *TAKEN, payload.alias("payload"))
     if not told.count:
         return ledger, told
     history = folded_history(ledger, gone, history_from(now, options.history))
-    after = _without(ledger, gone).having(
+    after = _without(ledger, options, now, gone, told).having(
         step_counts=folded_counts(ledger, gone, options.labels), done_hourly=folded_hours(ledger, gone), item_history=ledger.item_history.unionByName(history)
     )
     return after, told
@@ -173,7 +209,13 @@ class Breaker:
 
 
 def sweep_pass(ledger: Ledger, options: SweepOptions, now: datetime, folding: bool = True, batch: int = 0, budget: int = 0) -> tuple[Ledger, int]:
-    """One maintenance pass with a fixed cutoff: in one go, or in batches up to ``budget`` items, each from the last one's newest."""
+    """One maintenance pass with a fixed cutoff: all that is due, or with a ``batch`` the oldest ``budget`` items.
+
+    A change writes the ledger's tables anew, so pages of a fixed size would
+    write them once for each page. All pages go in one change; only after a
+    failure the pass goes on in pages of ``batch`` items, fewer after further
+    failures, each from the last one's newest.
+    """
     from dataclasses import replace
 
     step = fold if folding else sweep
@@ -182,20 +224,24 @@ def sweep_pass(ledger: Ledger, options: SweepOptions, now: datetime, folding: bo
     if batch <= 0:
         ledger, done = step(ledger, options, now)
         return ledger, done.count
-    total, breaker = 0, Breaker(batch)
+    if budget < 0:
+        return ledger, 0
+    total, size, breaker = 0, budget, None
     while True:
-        size = min(breaker.size, budget - total) if budget else breaker.size
-        if size <= 0:
-            return ledger, total
         try:
-            ledger, done = step(ledger, replace(options, limit=size), now)
+            after, done = step(ledger, replace(options, limit=size), now)
+            after = after.settled()
         except Exception:
-            if breaker.size <= breaker.least:
+            if breaker is None:
+                breaker = Breaker(batch)
+            elif breaker.size <= breaker.least:
                 raise
-            breaker.failed()
-            continue
-        breaker.succeeded()
-        ledger, total = ledger.settled(), total + done.count
-        if done.count < size:
-            return ledger, total
-        options = replace(options, after=done.newest)
+            else:
+                breaker.failed()
+        else:
+            ledger, total = after, total + done.count
+            if breaker is None or done.count < size or total == budget:
+                return ledger, total
+            breaker.succeeded()
+            options = replace(options, after=done.newest)
+        size = min(breaker.size, budget - total) if budget else breaker.size
