@@ -234,6 +234,20 @@ def test_attempts_are_told_apart_by_marked_ids(spark, monkeypatch):
         assert sorted(rest, key=str) == sorted([*(i + 2 for i in ids if i + 2 not in ids), None], key=str)
 
 
+def test_a_fold_leaves_items_and_attempts_where_they_are(spark):
+    g = finished(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for options in (fold_ops.SweepOptions(timedelta(days=3)), fold_ops.SweepOptions(timedelta(days=3), limit=4)):
+            after, done = fold_ops.fold(g, options, NOW)
+            assert done.count and after.items.count() == g.items.count() - done.count
+            for f in (after.items, after.attempts):
+                assert "hashpartitioning" not in f._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_breaker():
     b = fold_ops.Breaker(8)
     assert [b.failed(), b.failed(), b.failed(), b.failed(), b.succeeded()] == [4, 2, 1, 1, 8]

@@ -168,8 +168,7 @@ def folded_hours(ledger: Ledger, gone: DataFrame) -> DataFrame:
 def folded_history(ledger: Ledger, gone: DataFrame, since) -> DataFrame:
     """History rows of items finished at ``since`` or later, with their attempts in order."""
     kept = gone.where(F.col("finalized_at") >= since)
-    mine = ledger.attempts.join(kept.select(F.col("id").alias("item_pk")), "item_pk", "left_semi")
-    tries = mine.groupBy(F.col("item_pk").alias("id")).agg(
+    tries = _split(ledger.attempts, kept)[0].groupBy(F.col("item_pk").alias("id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("id", "attempt", "worker", "started_at", "ended_at", "outcome", "error"))), lambda a: a.dropFields("id")).alias("attempts")
     )
     none = F.array().cast(dict(ledger.item_history.dtypes)["attempts"])
