@@ -507,6 +507,37 @@ def test_near_classes_find_every_pair_of_large_buckets(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == want and 1 < len(set(want.values())) < 120
 
 
+def test_bands_send_packed_prints_and_link_whole_buckets(spark, monkeypatch):
+    """Blobs are few, and parts of bands and large buckets lose no link."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2, (30, 256))
+    bits = np.concatenate([base, *[np.where(rng.random(base.shape) < p, 1 - base, base) for p in (0.02, 0.05, 0.09, 0.1)]])
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    want = {tuple(sorted(p)) for p in zip(*np.nonzero(1 - 2 * (bits[:, None] != bits[None]).sum(2) / 256 >= 0.8)) if p[0] != p[1]}
+
+    def classes(pairs):
+        least = list(range(len(bits)))
+        for _ in least:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    for size, block in ((1, 2048), (7, 2048), (1, 3)):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        found = [fingerprints._linked(words, np.arange(len(words)) % size, 0.8)]
+        found = {tuple(sorted((int(a), int(b)))) for one in found for a, b in zip(*one)}
+        assert found <= want and classes(found) == classes({p for p in want if (p[0] - p[1]) % size == 0})
+    samples = fingerprints._samples(1 << 24)
+    assert len(samples[0]) == 22 and len(samples) > len(fingerprints._samples(9)) == 144
+    prints = [w.tobytes().hex() for w in words]
+    known = spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint string").coalesce(1)
+    assert known.mapInArrow(fingerprints._bands(samples[:5], 2), fingerprints.ASKED).count() <= 10
+    monkeypatch.setattr(fingerprints, "CHUNK", 16)
+    got = {r.doc_id: r.class_id for r in fingerprints.near_classes(known.withColumnRenamed("node", "doc_id")).collect()}
+    reach = classes(want)
+    assert got == {i: min(p for p, r in zip(prints, reach) if r == reach[i]) for i in range(len(prints))}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

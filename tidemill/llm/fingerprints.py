@@ -13,6 +13,7 @@ fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import connected_components
-from tidemill.llm.exchange import per_group
+from tidemill.llm.exchange import ASKED, by_key, pack, per_group, unpack
+from tidemill.llm.exchange import rows as rows_of
 from tidemill.llm.frames import cut, partitions
 
 BITS = 256
@@ -30,7 +32,9 @@ PERIOD = 4096  # of the shared random bits, in steps
 STEPS = 2  # embedding steps for each character, as many as a walk needs on average
 BANDS, BAND_BITS = 144, 20  # a pair at NEAR shares no band with probability under 1e-7
 NEAR = 0.8
-BLOCK = 1024  # fingerprints that are compared pair by pair
+CHUNK = 1 << 15  # fingerprints that a task deals to bands at once, and about as many as a part of a band has
+BLOCK = 2048  # larger buckets are searched breadth first, one fingerprint after another
+LEADERS = 4  # fingerprints of a bucket that the others are compared with first
 
 
 def _stays() -> list[list[int]]:
@@ -175,65 +179,137 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _with_next(docs, doc_id, text).mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _samples(n: int) -> list[np.ndarray]:
+    """The bits of each band for ``n`` fingerprints.
+
+    Bands have a bit more for each doubling beyond 4 million, so that chance
+    fills their buckets no further, and are as many more as keep the odds.
+    """
+    bits = min(64, max(BAND_BITS, (max(1, n) - 1).bit_length() - 2))
+    same = BITS - int((1 - NEAR) * BITS / 2)
+    shared = lambda k: math.comb(same, k) / math.comb(BITS, k)
     pick = np.random.default_rng(7304)
-    samples = [np.sort(pick.choice(BITS, BAND_BITS, replace=False)) for _ in range(BANDS)]
-    weights = (1 << np.arange(BAND_BITS, dtype=np.int64))[None, :]
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            b = whole.slice(at, 4096)
-            bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(b.column("fingerprint").to_pylist())), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.int64)
-            keys = np.array([(bits[:, s] * weights).sum(1) + (i << BAND_BITS) for i, s in enumerate(samples)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), BANDS)), pa.array(keys.T.ravel())], names=["node", "band"])
-
-
-def _forests(near: float):
-    """Spanning forests (a, b) of the near pairs of each block, rows sorted by (band, i, j)."""
-
-    def forest(nodes: list[int], prints: list[str]) -> list[tuple[int, int]]:
-        words = np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(len(prints), -1)
-        left = np.ones(len(prints), bool)
-        out = []
-        for first in range(len(prints)):
-            queue = [first] if left[first] else []
-            left[first] = False
-            while queue:
-                k = queue.pop()
-                rest = np.flatnonzero(left)
-                differ = np.bitwise_count(words[rest] ^ words[k]).sum(1, dtype=np.int64)
-                found = rest[1.0 - 2.0 * differ / BITS >= near].tolist()
-                left[found] = False
-                out += [(nodes[k], nodes[x]) for x in found]
-                queue += found
-        return out
+    return [np.sort(pick.choice(BITS, bits, replace=False)) for _ in range(math.ceil(BANDS * shared(BAND_BITS) / shared(bits)))]
+
+
+def _keys(words: np.ndarray, samples: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """What each band reads of fingerprints."""
+    columns = np.ascontiguousarray(words.view(np.uint8).reshape(len(words), -1).T)
+    for s in samples:
+        bits = columns[s >> 3] >> (7 - (s & 7)).astype(np.uint8)[:, None] & np.uint8(1)
+        yield (np.uint64(1) << np.arange(len(s), dtype=np.uint64)) @ bits.astype(np.uint64)
+
+
+def _bands(samples: list[np.ndarray], parts: int):
+    """ASKED rows: a blob of nodes and fingerprints for each chunk, band and part of its keys."""
+
+    def deal(nodes: list[np.ndarray], prints: list[str]) -> Iterator[pa.RecordBatch]:
+        ids, words = np.concatenate(nodes), np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(len(prints), -1)
+        for i, key in enumerate(_keys(words, samples)):
+            part = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+            yield rows_of(ASKED, [(i * parts + v, 0, pack(ids[at], words[at])) for v, at in by_key(part.astype(np.int64), parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = per_group(batches, "block", lambda _, it: [forest(*map(list, zip(*it)))], ("node", "fingerprint"))
-        for found in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        nodes, prints = [], []
+        for b in batches:
+            nodes.append(b.column("node").to_numpy())
+            prints += b.column("fingerprint").to_pylist()
+            if len(prints) >= CHUNK:
+                yield from deal(nodes, prints)
+                nodes, prints = [], []
+        if prints:
+            yield from deal(nodes, prints)
 
     return run
 
 
+def _forest(words: np.ndarray, near: float) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs, breadth first: what is found is compared with the rest only."""
+    left = np.ones(len(words), bool)
+    out = []
+    for first in range(len(words)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        rest = np.flatnonzero(left) if queue else None
+        while queue and len(rest):
+            k = queue.pop()
+            hit = _near(words[rest], words[k], near)
+            found = rest[hit].tolist()
+            if found:
+                left[found] = False
+                rest = rest[~hit]
+                out += [(k, x) for x in found]
+                queue += found
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
+    return 1.0 - 2.0 * np.bitwise_count(a ^ b).sum(1, dtype=np.int64) / BITS >= near
+
+
+def _linked(words: np.ndarray, key: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of near pairs with equal keys, which connect all that such pairs connect."""
+    order = np.argsort(key)
+    begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    size = np.diff(np.r_[begin, len(key)])
+    out = []
+    for g in np.flatnonzero(size > BLOCK):
+        own = order[begin[g] : begin[g] + size[g]]
+        out += [own[np.array(_forest(words[own], near), np.int64).reshape(-1, 2)]]
+    # The other groups at once: rows of a group follow each other, and those of size 1 are left out.
+    fits = np.repeat((size > 1) & (size <= BLOCK), size)
+    order, group = order[fits], np.repeat(np.arange(len(size)), size)[fits]
+    words = words[order]
+    end = np.searchsorted(group, group, side="right")
+    # Rows near a leader of their group need no comparison with each other.
+    label, free = np.arange(len(order)), np.arange(len(order))
+    for _ in range(LEADERS):
+        first = np.r_[True, group[free][1:] != group[free][:-1]] if len(free) else np.zeros(0, bool)
+        lead = free[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        hit = _near(words[free], words[lead], near)
+        label[free[hit]] = lead[hit]
+        out.append(np.stack([order[lead[hit & ~first]], order[free[hit & ~first]]], 1))
+        free = free[~hit & ~first]
+    at, k = np.arange(len(order)), 0
+    while len(at):
+        k += 1
+        at = at[at + k < end[at]]
+        pair = at[label[at] != label[at + k]]
+        pair = pair[_near(words[pair], words[pair + k], near)]
+        out.append(np.stack([order[pair], order[pair + k]], 1))
+    both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
+
+
+def _links(samples: list[np.ndarray], parts: int, near: float):
+    """Near pairs (a, b) of nodes in the buckets of each part of a band."""
+
+    def work(bucket: int, payloads: Iterator[tuple[bytes]]) -> Iterator[pa.RecordBatch]:
+        blobs = [unpack(p, np.dtype((np.void, BITS // 8))) for (p,) in payloads]
+        nodes, words = np.concatenate([n for n, _ in blobs]), np.concatenate([w for _, w in blobs]).view(np.uint64).reshape(-1, BITS // 64)
+        a, b = _linked(words, *_keys(words, [samples[bucket // parts]]), near)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["a", "b"])
+
+    return lambda batches: per_group(batches, "bucket", work, ("payload",))
+
+
 def near_classes(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint", near: float = NEAR) -> DataFrame:
     """(doc_id, class_id) with the least fingerprint of each class of near fingerprints as its id.
 
-    Equal fingerprints are one candidate. All pairs of a band's bucket are
-    compared on all bits, in blocks of bounded size; a bucket of m takes about
-    (m / BLOCK)^2 / 2 of them. Rows without a fingerprint are left out; an empty
-    table has no classes.
+    Equal fingerprints are one candidate. Bands send fingerprints packed, in
+    parts of their keys with about CHUNK of them each; a part compares the
+    fingerprints of each bucket on all bits. Rows without a fingerprint are
+    left out; an empty table has no classes.
     """
-    rows = prints.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{fingerprint}`").alias("fingerprint")).where("fingerprint IS NOT NULL")
+    rows = cut(prints.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{fingerprint}`").alias("fingerprint")).where("fingerprint IS NOT NULL"))
     known = cut(rows.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()))
-    banded = cut(known.mapInArrow(_bands, "node long, band long"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    placed = banded.join(sizes, "band").select("band", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.struct("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("block"), "node").join(known, "node")
-    dealt = placed.repartition(partitions(prints.sparkSession), "block").sortWithinPartitions("block", "node")
-    parts = connected_components(dealt.mapInArrow(_forests(near), "a long, b long"))
-    tied = known.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    n = known.count()
+    samples, parts = _samples(n), -(-max(1, n) // CHUNK)
+    spread = known.repartition(partitions(prints.sparkSession), "node")
+    sent = spread.mapInArrow(_bands(samples, parts), ASKED).select("bucket", "payload")
+    dealt = sent.repartitionById(partitions(prints.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
+    classes = connected_components(dealt.mapInArrow(_links(samples, parts, near), "a long, b long"))
+    tied = known.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tied.groupBy("component").agg(F.min("fingerprint").alias("class_id"))
     return rows.join(tied.join(least, "component").select("fingerprint", "class_id"), "fingerprint").select("doc_id", "class_id")
 
